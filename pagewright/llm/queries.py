@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import simhash, substring_dedup
-from .common import table
+from . import simhash, substring_dedup, warc
+from .common import shared_path, table
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +17,27 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("text")
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_path(spark, "warc")
+    warc.write(table(spark, sf_dir, "pages"), path)
+    found = warc.read(spark, path, payloads=False).filter("kind = 'record'")
+    number = lambda c: F.regexp_extract(c, r"<urn:page:(-?\d+)>", 1).try_cast("long")
+    return found.select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"))
+
+
+OP9_SQL = """
+WITH rows AS (SELECT page_id, encode(coalesce(html, '')) AS payload, sha1(encode(coalesce(html, ''))) AS hex FROM pages),
+parts AS (SELECT *, list_transform(range(8), lambda g: ('0x' || substr(hex, (g * 5 + 1)::INT, 5))::INT) AS p FROM rows),
+named AS (
+  SELECT page_id, octet_length(payload)::BIGINT AS payload_bytes,
+    array_to_string(list_transform(p, lambda v: array_to_string(list_transform([15, 10, 5, 0], lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((v >> s) & 31) + 1, 1)), '')), '') AS payload_digest
+  FROM parts),
+best AS (SELECT payload_digest, max(page_id) AS first FROM named GROUP BY 1)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to
+FROM named JOIN best USING (payload_digest)
+"""
+
 OP10_SQL = r"""
 WITH docs AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
 words AS (SELECT doc_id, unnest(ws) AS w, unnest(range(len(ws))) AS pos FROM docs),
@@ -34,9 +56,9 @@ FROM docs d LEFT JOIN summed USING (doc_id)
 
 
 def queries() -> dict:
-    found = [op5_simhash, op10_substring_dedup]
+    found = [op5_simhash, op9_warc, op10_substring_dedup]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_substring_dedup": OP10_SQL}
+    return {"op9_warc": OP9_SQL, "op10_substring_dedup": OP10_SQL}
