@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash, substring_dedup, warc
+from . import decontaminate, simhash, substring_dedup, warc
 from .common import shared_path, table
 
 
@@ -17,6 +17,10 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("text")
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.links(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "warc")
     warc.write(table(spark, sf_dir, "pages"), path)
@@ -56,7 +60,7 @@ FROM docs d LEFT JOIN summed USING (doc_id)
 
 
 def queries() -> dict:
-    found = [op5_simhash, op9_warc, op10_substring_dedup]
+    found = [op5_simhash, op8_decontaminate, op9_warc, op10_substring_dedup]
     return {f.__name__: f for f in found}
 
 
