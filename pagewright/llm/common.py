@@ -6,6 +6,7 @@ import atexit
 import gc
 import os
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -57,9 +58,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop shuffle files of plans that nothing refers to any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let Spark's cleaner drop shuffle files of plans that nothing refers to any more.
+
+    The first collection lets go of Python's handles, which the JVM hears of a
+    little later; the second one finds the plans.
+    """
+    for wait in (0.4, 0):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(wait)
 
 
 def words_of(text: str | None) -> list[bytes]:
