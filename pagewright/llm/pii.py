@@ -71,9 +71,12 @@ def _secret_parts(e: Column) -> tuple[Column, Column]:
 
 def canonical(k: Column, e: Column) -> Column:
     """What makes two mentions the same entity: case does not count, nor does punctuation of numbers, nor a secret's label."""
-    out = F.lower(e)
-    out = F.when(k.isin("card", "phone", "ssn", "iban"), F.upper(F.regexp_replace(e, PLAIN, ""))).otherwise(out)
-    return F.when(k == "secret", _secret_parts(e)[1]).otherwise(out)
+
+    def made(e):
+        number = F.upper(F.regexp_replace(e, PLAIN, ""))
+        return F.when(k.isin("card", "phone", "ssn", "iban"), number).when(k == "secret", _secret_parts(e)[1]).otherwise(F.lower(e))
+
+    return _let(e, made)
 
 
 def _bytes(key: str, salt: str, canon: Column, attempt: Column) -> Column:
@@ -150,55 +153,66 @@ def _script(word: Column) -> Column:
     return F.when(word.rlike(r"\p{IsCyrillic}"), "cyrillic").when(word.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
 
 
-def _given(gender: Column, script: Column, old: Column, v: Column) -> Column:
-    """A given name of the gender and script, other than the old one."""
-    out = F.lit(None).cast("string")
+def _names(gender: Column, first: Column) -> Column:
+    """The given names of the gender and of first's script, other than first."""
+    script = _script(first)
+    out = F.array().cast("array<string>")
     for (s, g), names in GIVEN.items():
-        others = F.array_remove(F.array(*map(F.lit, names.split())), F.initcap(old))
-        out = F.when((script == s) & (gender == g), _let(others, lambda x: F.element_at(x, v % F.size(x) + 1))).otherwise(out)
-    return out
+        out = F.when((script == s) & (gender == g), F.array(*map(F.lit, names.split()))).otherwise(out)
+    return F.array_remove(out, F.initcap(first))
 
 
 def _cased(new: Column, old: Column) -> Column:
-    return F.when((old == F.upper(old)) & (F.length(old) > 1), F.upper(new)).otherwise(new)
+    return _let(new, lambda x: F.when((old == F.upper(old)) & (F.length(old) > 1), F.upper(x)).otherwise(x))
 
 
 def _person(key: str, e: Column, attempt: Column) -> Column:
-    """Title kept; a lone name and the last of two are surnames, so that mentions with and without given name agree."""
-    title = F.split(e, " ")[0]
-    gender = F.when(title.isin(TITLES["f"]), "f").when(title.isin(TITLES["m"]), "m").otherwise("u")
-    names = F.slice(F.split(e, " "), 2, 2)
-    last = F.element_at(names, -1)
-    first = F.when(F.size(names) == 2, names[0])
-    # further attempts change the given name, and lengthen it; a lone name keeps its surname unless that is taken
-    last_attempt = F.when(first.isNull(), attempt).otherwise(0)
-    surname = _let(_bytes(key, "surname", F.lower(last), last_attempt), lambda h: _scramble(last, h))
-    given = _let(_bytes(key, "given", F.lower(e), attempt), lambda h: _given(gender, _script(first), first, _byte(h, F.lit(0))))
-    longer = F.when(attempt > 0, F.concat(given, F.lit("-"), _let(_bytes(key, "second", F.lower(e), attempt), lambda h: _given(gender, _script(first), first, _byte(h, F.lit(1)))), F.when(attempt > 2, F.concat(F.lit("-"), _let(_bytes(key, "third", F.lower(e), attempt), lambda h: _scramble(first, h)))).otherwise(F.lit("")))).otherwise(given)
-    return F.when(first.isNull(), F.concat_ws(" ", title, surname)).otherwise(F.concat_ws(" ", title, _cased(longer, first), surname))
+    """Title kept; a lone name and the last of two are surnames, so that mentions with and without given name agree.
+
+    Further attempts change the given name, and lengthen it; a lone name keeps
+    its surname unless that is taken.
+    """
+
+    def whole(parts):
+        title, last = parts[0], F.element_at(parts, -1)
+        alone = F.size(parts) == 2
+        gender = F.when(title.isin(TITLES["f"]), "f").when(title.isin(TITLES["m"]), "m").otherwise("u")
+        surname = _let(_bytes(key, "surname", F.lower(last), F.when(alone, attempt).otherwise(0)), lambda h: _scramble(last, h))
+        name = lambda x, h, i: F.element_at(x, _byte(h, F.lit(i)) % F.size(x) + 1)
+
+        def given(x):
+            def made(h):
+                more = F.when(attempt > 0, F.concat(F.lit("-"), name(x, h, 1))).otherwise("")
+                return _cased(F.concat(name(x, h, 0), more, F.when(attempt > 2, F.concat(F.lit("-"), _scramble(parts[1], h))).otherwise("")), parts[1])
+
+            return _let(_bytes(key, "given", F.lower(e), attempt), made)
+
+        return F.concat_ws(" ", title, F.when(~alone, _let(_names(gender, parts[1]), given)), surname)
+
+    return _let(F.slice(F.split(e, " "), 1, 3), whole)
 
 
 def surrogate(key: str, k: Column, e: Column, attempt: Column | None = None) -> Column:
     """The surrogate of a mention e of kind k."""
     attempt = F.lit(0) if attempt is None else attempt
+
+    def mail(h):
+        local, domain = F.substring_index(e, "@", 1), F.substring_index(e, "@", -1)
+        # after some attempts a short name gets longer: there may be no other left
+        more = F.when(attempt > 3, F.substr(F.sha2(F.concat(F.lit(key), F.lower(e), attempt.cast("string")), 256), F.lit(1), F.least(attempt, F.lit(8)))).otherwise("")
+        host = F.regexp_extract(domain, r"\A(.*\.)[^.]*\z", 1)
+        hosted = _let(_bytes(key, "domain", F.lower(domain), F.lit(0)), lambda g: _scramble(host, g))
+        return F.concat(_scramble(F.concat(local, more), h), F.lit("@"), hosted, F.substring_index(domain, ".", -1))
+
+    def made(h):
+        octets = [(1 + _byte(h, F.lit(i)) % 223).cast("string") for i in range(4)]
+        # a number's country code stays: "+" and its digits, or the IBAN's two letters
+        lead = F.when(k == "phone", F.regexp_extract(e, r"\A(?:\+\d{1,3}(?=[ .(-])|\+\d)?", 0)).when(k == "iban", F.substring(e, 1, 2)).when(k == "secret", _secret_parts(e)[0]).otherwise("")
+        rest = _let(lead, lambda x: F.concat(x, _scramble(F.substr(e, F.length(x) + 1), h)))
+        return F.when(k == "email", mail(h)).when(k == "ip", F.concat_ws(".", *octets)).when(k == "card", _card(e, h)).when(k == "secret", _let(lead, lambda x: F.concat(x, _secret(F.substr(e, F.length(x) + 1), h)))).otherwise(rest)
+
     hexes = _bytes(key, "entity", F.concat(k, F.lit("\x1f"), canonical(k, e)), attempt)
-    octet = lambda h, i: (1 + _byte(h, F.lit(i)) % 223).cast("string")
-    local, domain = F.substring_index(e, "@", 1), F.substring_index(e, "@", -1)
-    tld = F.substring_index(domain, ".", -1)
-    host = F.substr(domain, F.lit(1), F.length(domain) - F.length(tld))
-    hosted = _let(_bytes(key, "domain", F.lower(domain), F.lit(0)), lambda h: _scramble(host, h))
-    # after some attempts a short name gets longer: there may be no other left
-    local = F.when(attempt > 3, F.concat(local, F.substr(F.sha2(F.concat(F.lit(key), F.lower(e), attempt.cast("string")), 256), F.lit(1), F.least(attempt, F.lit(8))))).otherwise(local)
-    return (
-        F.when(k == "secret", F.concat(_secret_parts(e)[0], _secret(_secret_parts(e)[1], hexes)))
-        .when(k == "email", F.concat(_scramble(local, hexes), F.lit("@"), hosted, tld))
-        .when(k == "ip", _let(hexes, lambda h: F.concat_ws(".", octet(h, 0), octet(h, 1), octet(h, 2), octet(h, 3))))
-        .when(k == "card", _card(e, hexes))
-        .when(k == "iban", _scramble(e, hexes, 2))
-        .when(k == "phone", F.concat(F.regexp_extract(e, r"\A(?:\+\d{1,3}(?=[ .(-])|\+\d)?", 0), _scramble(F.regexp_replace(e, r"\A(?:\+\d{1,3}(?=[ .(-])|\+\d)", ""), hexes)))
-        .when(k == "ssn", _scramble(e, hexes))
-        .otherwise(_person(key, e, attempt))
-    )
+    return F.when(k == "person", _person(key, e, attempt)).otherwise(_let(hexes, made))
 
 
 def entities(text: Column) -> Column:
@@ -250,7 +264,7 @@ def replace(docs: DataFrame, key: str) -> DataFrame:
 
     def new(e):
         attempt = F.coalesce(F.try_element_at(F.col(own), e), F.lit(0))
-        return _let(kind(e), lambda k: surrogate(key, k, e, attempt))
+        return _let(F.struct(kind(e).alias("k"), attempt.alias("a")), lambda x: surrogate(key, x["k"], e, x["a"]))
 
     parts = F.split(text, ENTITY, -1)
     whole = F.array_join(F.flatten(F.zip_with(parts, F.transform(entities(text), new), lambda p, e: F.array(p, F.coalesce(e, F.lit(""))))), "")
