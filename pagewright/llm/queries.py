@@ -2,13 +2,27 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, pii, simhash, substring_dedup, warc
+from . import decontaminate, pieces, pii, quality, simhash, substring_dedup, warc
 from .common import shared_path, table
 
 
+#: The model file whose pieces op1 and the pipeline use.
+PIECES = os.environ.get("PAGEWRIGHT_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
+
+
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digests(table(spark, sf_dir, "documents"), pieces.Vocabulary.load(PIECES), 2)
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -69,7 +83,7 @@ FROM docs d LEFT JOIN summed USING (doc_id)
 
 
 def queries() -> dict:
-    found = [op5_simhash, op7_pii, op8_decontaminate, op9_warc, op10_substring_dedup]
+    found = [op1_sentencepiece, op4_quality, op5_simhash, op7_pii, op8_decontaminate, op9_warc, op10_substring_dedup]
     return {f.__name__: f for f in found}
 
 

@@ -47,15 +47,16 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long)."""
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+    """doc_id, th (a hash of the text), fp (the 64 bits as a signed long)."""
+    schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("fp", pa.int64())])
 
     def run(it):
         for batch in it:
             fp = np.fromiter((fingerprint(t, shingle) for t in batch.column("text").to_pylist()), dtype=np.uint64, count=batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp.view(np.int64))], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), pa.array(fp.view(np.int64))], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text")).mapInArrow(run, "doc_id long, th long, fp long")
 
 
 def _signed(mask: int) -> int:
@@ -128,10 +129,31 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, d: int = 2, small: int =
     are repeated in the result. Other columns of docs are ignored. Empty table:
     empty result.
     """
-    marked = written(fingerprints(docs, shingle), "fingerprints")
-    nodes = written(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    roots = components(links(nodes.select("fp"), d, small))
-    rooted = nodes.join(roots.withColumnRenamed("node", "fp").hint("merge"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    marked, rooted = _rooted(docs, shingle, d, small)
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(least.hint("merge"), "root").select("fp", "component_id")
     return marked.join(named.hint("merge"), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _rooted(docs: DataFrame, shingle: int, d: int, small: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, th, fp of every row; fp, least doc_id, root of every different fingerprint)."""
+    marked = written(fingerprints(docs, shingle), "fingerprints")
+    nodes = written(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
+    roots = components(links(nodes.select("fp"), d, small))
+    rooted = nodes.join(roots.withColumnRenamed("node", "fp").hint("merge"), "fp", "left")
+    return marked, written(rooted.select("fp", "least", F.coalesce("root", "fp").alias("root")), "rooted")
+
+
+def keep_one(docs: DataFrame, shingle: int = 3, d: int = 2, small: int = 64) -> DataFrame:
+    """One row of each component of near_duplicates(), all columns: the smallest doc_id, null last, then the smallest hash of the text.
+
+    Rows that repeat both are one.
+    """
+    marked, rooted = _rooted(docs, shingle, d, small)
+    keepers = marked.join(rooted.select("fp", "root").hint("merge"), "fp").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("k"))
+    keepers = written(keepers.select(F.col("k.doc_id").alias("kept_id"), F.col("k.th").alias("kept_th")), "keepers")
+    names = docs.columns
+    hashed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.col("text").cast("string")).alias("th"))
+    on = hashed["id"].eqNullSafe(keepers["kept_id"]) & (hashed["th"] == keepers["kept_th"])
+    found = hashed.hint("merge").join(keepers, on, "left_semi")
+    return found.dropDuplicates(["id", "th"]).select(*[F.col("row").getField(c).alias(c) for c in names])
