@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Seed of every word and shingle hash.
 SEED = 42
@@ -69,6 +70,12 @@ def release(spark: SparkSession) -> None:
         time.sleep(wait)
 
 
+def salted_join(left: DataFrame, right: DataFrame, on: list[str], by: str, how: str = "inner", salts: int = 8) -> DataFrame:
+    """Join with a right side that has one row for each key. A key that very many left rows hold is dealt to ``salts`` tasks by the hash of column ``by``, and both sides come straight from a shuffle, so that Spark can split it further."""
+    salted = left.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(salts)))
+    return salted.join(right.withColumn("_salt", F.explode(F.array(*[F.lit(i).cast("long") for i in range(salts)]))).hint("merge"), [*on, "_salt"], how).drop("_salt")
+
+
 def words_of(text: str | None) -> list[bytes]:
     """Words [^\\x20\\x09-\\x0D]+ of the UTF-8 text; bytes.split() splits at just these characters."""
     return text.encode("utf-8", "surrogatepass").split() if text else []

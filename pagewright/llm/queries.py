@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, pieces, pii, quality, simhash, substring_dedup, warc
+from . import decontaminate, images, licenses, pieces, pii, quality, simhash, substring_dedup, url_filter, warc
 from .common import shared_path, table
 
 
@@ -19,6 +19,57 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(table(spark, sf_dir, "documents"), pieces.Vocabulary.load(PIECES), 2)
 
 
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pages have no fetch day and there is no list: both are derived from ids and hosts, spread over a year."""
+    pages = table(spark, sf_dir, "pages")
+    day0 = F.lit("2024-01-01").cast("date")
+    captures = pages.select("page_id", "url", F.date_add(day0, (F.col("page_id") * 37 % 366).cast("int")).alias("day"))
+    name = url_filter.host(F.col("url"))
+    hosts = pages.select(name.alias("host")).distinct().withColumn("m", F.md5("host"))
+    n = lambda i, k: F.conv(F.substring("m", i, k), 16, 10).cast("int")
+    entry = lambda lst, value, action, shift: F.struct(F.lit(lst).alias("list"), value.alias("value"), F.lit(action).alias("action"), F.date_add(day0, n(2, 2) + shift).alias("day"))
+    base = F.regexp_extract("host", r"([^.]+\.[^.]+\.[^.]+)\z", 1)
+    rows = F.when(n(1, 1) < 5, F.array(entry("hosts", F.col("host"), "add", 0), entry("hosts", F.col("host"), "remove", 60), entry("hosts", F.col("host"), "add", 120)))
+    rows = rows.when(n(1, 1) < 8, F.array(entry("domains", base, "add", 0))).when(n(1, 1) < 11, F.array(entry("paths", F.concat("host", F.lit("/fr/")), "add", 0), entry("paths", F.concat("host", F.lit("/fr/")), "remove", 90)))
+    entries = hosts.select(F.explode(rows).alias("e")).select("e.*")
+    return url_filter.judged(captures, entries).withColumn("day", F.col("day").cast("string"))
+
+
+OP2_SQL = r"""
+WITH p AS (SELECT page_id, url, DATE '2024-01-01' + (page_id * 37 % 366)::INT AS day, regexp_replace(lower(regexp_extract(url, '//([^/?#:]+)', 1)), '^www\.', '') AS host, regexp_extract(url, '//[^/?#]*/([^/?#]+)/', 1) AS seg FROM pages),
+h AS (SELECT *, ('0x' || substr(m, 1, 1))::INT AS k, DATE '2024-01-01' + ('0x' || substr(m, 2, 2))::INT AS d0 FROM (SELECT DISTINCT host, md5(host) AS m FROM p)),
+iv AS (
+  SELECT 'hosts' AS list, host AS value, d0 AS since, d0 + 60 AS until FROM h WHERE k < 5 UNION ALL SELECT 'hosts', host, d0 + 120, NULL FROM h WHERE k < 5
+  UNION ALL SELECT 'domains', regexp_extract(host, '([^.]+\.[^.]+\.[^.]+)$', 1), min(d0), NULL FROM h WHERE k BETWEEN 5 AND 7 GROUP BY 2
+  UNION ALL SELECT 'paths', host || '/fr/', d0, d0 + 90 FROM h WHERE k BETWEEN 8 AND 10),
+keys AS (
+  SELECT page_id, day, host AS value FROM p UNION SELECT page_id, day, regexp_extract(host, '([^.]+\.[^.]+\.[^.]+)$', 1) FROM p UNION SELECT page_id, day, host || '/' || seg || '/' FROM p WHERE seg <> ''),
+hit AS (SELECT k.page_id, iv.list, k.value FROM keys k JOIN iv ON iv.value = k.value AND k.day >= since AND (until IS NULL OR k.day < until)),
+agg AS (SELECT page_id, count(*) AS n, string_agg(DISTINCT list, ',' ORDER BY list) AS lists FROM hit GROUP BY page_id)
+SELECT p.page_id, p.day::VARCHAR AS day, coalesce(n, 0)::BIGINT AS n_hits, coalesce(lists, '') AS lists, n IS NULL AS keep FROM p LEFT JOIN agg USING (page_id)
+"""
+
+
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def _op3_sql() -> str:
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    known = ", ".join(f"({quoted(v)}, {quoted(k)})" for k, v in licenses.SENTENCES.items())
+    rules = ", ".join(f"({quoted(k)}, {quoted(lic)}, [{', '.join(map(quoted, ids))}])" for k, (lic, ids) in licenses.RULES.items())
+    return rf"""
+WITH known(norm, sentence) AS (VALUES {known}), rules(rule, licence, ids) AS (VALUES {rules}),
+parts AS (SELECT doc_id, list_filter(list_transform(string_split_regex(regexp_replace(text, '([.;:!?])[ \t\r]+', '\1' || chr(10), 'g'), '\n+'), lambda s: trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g'))), lambda s: s <> '') AS s FROM documents),
+each AS (SELECT doc_id, unnest(s) AS norm, unnest(range(len(s))) AS place FROM parts),
+hit AS (SELECT doc_id, list(sentence ORDER BY place) AS ss, list(place ORDER BY place) AS ps FROM each JOIN known USING (norm) GROUP BY doc_id),
+starts AS (SELECT doc_id, ss, ps, unnest(range(1, len(ss) + 1)) AS i FROM hit),
+tried AS (SELECT doc_id, licence, rule, list_slice(ss, i, i + len(ids) - 1) AS s, list_slice(ps, i, i + len(ids) - 1) AS p, ids FROM starts, rules),
+ok AS (SELECT doc_id, licence, rule, p[1] AS first, p[-1] AS last FROM tried WHERE s = ids AND len(list_filter(range(2, len(p) + 1), lambda j: p[j] - p[j - 1] > {licenses.GAP + 1})) = 0)
+SELECT doc_id, licence, rule, first::INT AS first, last::INT AS last FROM ok a WHERE NOT EXISTS (SELECT 1 FROM ok b WHERE b.doc_id = a.doc_id AND b.first <= a.first AND b.last >= a.last AND b.last - b.first > a.last - a.first)
+"""
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -31,6 +82,11 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("text")
 
 
+def op6_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """embeddings have no pictures: each row's is drawn from a vector, and some rows get an edited copy of another's (see images.drawn)."""
+    return images.copies(images.drawn(table(spark, sf_dir, "embeddings")), every=20)
+
+
 #: Key of the surrogates that the queries make; others pass their own.
 PII_KEY = "pagewright"
 
@@ -83,9 +139,9 @@ FROM docs d LEFT JOIN summed USING (doc_id)
 
 
 def queries() -> dict:
-    found = [op1_sentencepiece, op4_quality, op5_simhash, op7_pii, op8_decontaminate, op9_warc, op10_substring_dedup]
+    found = [op1_sentencepiece, op2_url_filter, op3_licenses, op4_quality, op5_simhash, op6_images, op7_pii, op8_decontaminate, op9_warc, op10_substring_dedup]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_warc": OP9_SQL, "op10_substring_dedup": OP10_SQL}
+    return {"op2_url_filter": OP2_SQL, "op3_licenses": _op3_sql(), "op9_warc": OP9_SQL, "op10_substring_dedup": OP10_SQL}
