@@ -15,7 +15,6 @@ MARGIN, REPEAT = 0.12, 0.6
 #: Lines that count as running ones wherever they stand in the margin.
 RUNNING = r"(?i)\A\s*(?:(?:copyright|©|\(c\)).*|\d{1,4}(?:\s*/\s*\d{1,4})?|page\s+\d+(?:\s+of\s+\d+)?|powered by .*)\s*\z"
 BULLET, NUMBER = r"\A\s*[•●○▪■◦·\-*]\s*\z", r"\A\s*(\d{1,3}[.、)]?)\s*\z"
-PAGE = Window.partitionBy("doc_id", "page_no").orderBy("line_no")
 
 
 def zoned(lines: DataFrame, margin: float = MARGIN) -> DataFrame:
@@ -66,10 +65,10 @@ def body_height(lines: DataFrame) -> DataFrame:
 
 
 def orphans(lines: DataFrame) -> DataFrame:
-    """lines with markers put before the line they belong to; markers before markers, and at a page's end, go. Keys as in PAGE; text in txt."""
+    """lines with markers put before the line they belong to; markers before markers, and at a page's end, go. Text in txt."""
     bullet, number = F.col("txt").rlike(BULLET), F.regexp_extract("txt", NUMBER, 1)
     m = lines.withColumn("marker", F.when(bullet, "-").when(number != "", F.when(number.rlike(r"[.、]\z"), number).otherwise(F.concat(number, F.lit(".")))))
-    m = m.withColumn("own", F.lag("marker").over(PAGE))
+    m = m.withColumn("own", F.lag("marker").over(Window.partitionBy("doc_id", "page_no").orderBy("line_no")))
     return m.filter("marker is null").select(*[F.when(F.col("own").isNotNull(), F.concat("own", F.lit(" "), "txt")).otherwise(F.col("txt")).alias("txt") if c == "txt" else c for c in lines.columns])
 
 

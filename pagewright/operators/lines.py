@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BY = Window.partitionBy("doc_id").orderBy("line_no")
-SO_FAR = BY.rowsBetween(Window.unboundedPreceding, 0)
+def by():
+    return Window.partitionBy("doc_id").orderBy("line_no")
+
+
+def so_far():
+    return by().rowsBetween(Window.unboundedPreceding, 0)
 
 
 def exploded(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -24,9 +28,9 @@ def joined(lines: DataFrame, *keys: str, text: str = "line", as_: str = "text",
 def fenced(line: Column, fence: str) -> tuple[Column, Column]:
     """(is a fence, stands inside a fence) of each line; a fence itself is not inside."""
     is_fence = line.rlike(fence)
-    return is_fence, ~is_fence & (F.sum(is_fence.cast("int")).over(SO_FAR) % 2 == 1)
+    return is_fence, ~is_fence & (F.sum(is_fence.cast("int")).over(so_far()) % 2 == 1)
 
 
-def islands(boundary: Column, window=SO_FAR) -> Column:
+def islands(boundary: Column, window=None) -> Column:
     """Number of the run a row belongs to: a new one starts at each boundary."""
-    return F.sum(boundary.cast("int")).over(window)
+    return F.sum(boundary.cast("int")).over(window or so_far())

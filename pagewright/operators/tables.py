@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import cjk, tables
 from ..functions.text import half_up, trim
-from .lines import BY, SO_FAR, islands
+from .lines import by, so_far, islands
 
 
 def without_noise(lines: DataFrame) -> DataFrame:
@@ -37,7 +37,7 @@ def signals(lines: DataFrame) -> DataFrame:
     content = (t != "") & ~t.startswith("|") & ~t.startswith("#") & ~t.startswith("<!--") & ~t.rlike(r"\A(-{3,}|\*{3,})\z")
     marked = lines.select("doc_id", "line_no", is_row.alias("r"), content.alias("c"), (content & (F.length(t) <= 4)).alias("short"), tables.cells(line).alias("cells"), *[c.alias(k) for k, c in cjk.stats(line).items() if k != "per_1k"])
     marked = marked.withColumn("w", F.when(F.col("r"), F.size("cells"))).withColumn("empty", F.when(F.col("r"), F.size(F.filter("cells", lambda x: x == ""))).otherwise(0)).drop("cells")
-    last = F.last("w", ignorenulls=True).over(BY.rowsBetween(Window.unboundedPreceding, -1))
+    last = F.last("w", ignorenulls=True).over(by().rowsBetween(Window.unboundedPreceding, -1))
     marked = marked.withColumn("jitter", F.col("r") & last.isNotNull() & (last != F.col("w")))
     n = lambda c: F.count_if(c)
     s = marked.groupBy("doc_id").agg(
@@ -74,7 +74,7 @@ def continued(lines: DataFrame) -> DataFrame:
     """
     line = F.col("line")
     marked = lines.withColumn("bar", tables.table_line(line)).withColumn("blank", (trim(line) == "") | cjk.anchor(line)).withColumn("block", F.when(F.col("bar"), islands(~F.col("bar"))))
-    marked = marked.withColumn("wall", F.sum((~F.col("bar") & ~F.col("blank")).cast("int")).over(SO_FAR))
+    marked = marked.withColumn("wall", F.sum((~F.col("bar") & ~F.col("blank")).cast("int")).over(so_far()))
     w = Window.partitionBy("doc_id", "block").orderBy("line_no")
     marked = marked.withColumn("n", F.when(F.col("bar"), F.row_number().over(w)))
     each = marked.filter("bar").groupBy("doc_id", "block").agg(
