@@ -56,7 +56,7 @@ class _Reader(HTMLParser):
     def handle_data(self, data):
         if self.in_title:
             self.title += data
-        if self.skip:
+        if self.skip or self.in_title:
             return
         data = re.sub(r"\s+", " ", data)
         if self.headings and self.out and self.out[-1].startswith("#"):
