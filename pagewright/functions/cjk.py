@@ -50,7 +50,8 @@ def collapsed(line: Column) -> tuple[Column, Column]:
 
 def stats(c: Column) -> dict[str, Column]:
     """The observed rate of injected spaces; code is not left out here."""
-    chars, gaps = F.regexp_count(c, F.lit(SIDE)), F.regexp_count(c, F.lit(GAP))
+    wide = F.octet_length(c) > F.length(c)  # plain ASCII has none
+    chars, gaps = (F.when(wide, F.regexp_count(c, F.lit(p))).otherwise(0) for p in (SIDE, GAP))
     per = F.when(chars > 0, half_up(gaps * 100000.0 / chars) / 100.0).otherwise(0.0)
     return {"cjk_chars": chars.cast("long"), "injected": gaps.cast("long"), "per_1k": per, "torn_digits": torn_digits(c).cast("long")}
 

@@ -48,6 +48,13 @@ def cells(line: Column) -> Column:
     return F.transform(F.split(inner, r"\|", -1), trim)
 
 
+def filled(line: Column) -> tuple[Column, Column]:
+    """(cells, blank cells) between the outer bars, without taking them apart."""
+    inner = F.regexp_replace(F.regexp_replace(trim(line), r"\A\|", ""), r"\|\z", "")
+    n = F.length(inner) - F.length(F.replace(inner, F.lit("|"), F.lit(""))) + 1
+    return n, F.regexp_count(F.concat(F.lit("|"), inner, F.lit("|")), F.lit(r"(?U)\|(?=\s*\|)"))
+
+
 def width(line: Column) -> Column:
     return F.regexp_count(line, F.lit(r"\|")) - 1
 

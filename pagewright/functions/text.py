@@ -13,7 +13,8 @@ SPACE = r"(?U)\s+"
 
 def trim(c: Column) -> Column:
     """Without white space of any script at the ends."""
-    return F.regexp_replace(c, r"(?U)\A\s+|\s+\z", "")
+    ends = F.concat(F.left(c, F.lit(1)), F.right(c, F.lit(1)))  # most lines need no pass
+    return F.when(ends.rlike(r"(?U)\s"), F.regexp_replace(c, r"(?U)\A\s+|\s+\z", "")).otherwise(c)
 
 
 def without_space(c: Column) -> Column:

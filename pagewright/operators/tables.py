@@ -35,9 +35,8 @@ def signals(lines: DataFrame) -> DataFrame:
     line, t = F.col("line"), trim(F.col("line"))
     is_row = tables.row(line) & ~tables.sep_quality(line)
     content = (t != "") & ~t.startswith("|") & ~t.startswith("#") & ~t.startswith("<!--") & ~t.rlike(r"\A(-{3,}|\*{3,})\z")
-    marked = lines.select("doc_id", "line_no", is_row.alias("r"), content.alias("c"), (content & (F.length(t) <= 4)).alias("short"), tables.cells(line).alias("cells"), *[c.alias(k) for k, c in cjk.stats(line).items() if k != "per_1k"])
-    marked = marked.withColumn("w", F.when(F.col("r"), F.size("cells"))).withColumn("empty", F.when(F.col("r"), F.size(F.filter("cells", lambda x: x == ""))).otherwise(0)).drop("cells")
-    last = F.last("w", ignorenulls=True).over(by().rowsBetween(Window.unboundedPreceding, -1))
+    marked = lines.select("doc_id", "line_no", is_row.alias("r"), content.alias("c"), (content & (F.length(t) <= 4)).alias("short"), *[F.when(is_row, c).otherwise(0).alias(k) for k, c in zip(("w", "empty"), tables.filled(line))], *[c.alias(k) for k, c in cjk.stats(line).items() if k != "per_1k"])
+    last = F.last(F.when(F.col("r"), F.col("w")), ignorenulls=True).over(by().rowsBetween(Window.unboundedPreceding, -1))
     marked = marked.withColumn("jitter", F.col("r") & last.isNotNull() & (last != F.col("w")))
     n = lambda c: F.count_if(c)
     s = marked.groupBy("doc_id").agg(
