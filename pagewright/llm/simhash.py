@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SEED, words_of, written
+from .common import SEED, salted_join, words_of, written
 from .components import components
 
 BITS = 64
@@ -107,7 +107,7 @@ def links(nodes: DataFrame, d: int = 2, small: int = 64) -> DataFrame:
     at = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(_signed(chains[i][2])).alias("mask"), F.col("fp").bitwiseAND(F.lit(_signed(chains[i][2]))).alias("key")) for i in range(m)])
     keyed = nodes.select("fp", F.explode(at).alias("x")).select("fp", "x.i", "x.mask", "x.key")
     shared = keyed.groupBy("i", "key").agg(F.count("*").alias("n")).filter("n > 1")
-    keyed = written(keyed.join(shared.hint("merge"), ["i", "key"]), "keyed")
+    keyed = written(salted_join(keyed, shared, ["i", "key"], "fp"), "keyed")
     few = keyed.filter(F.col("n") <= small).select("i", "key", "fp")
     pairs = few.withColumnRenamed("fp", "a").hint("merge").join(few.withColumnRenamed("fp", "b"), ["i", "key"]).filter("a > b")
     within = F.lit(False)
@@ -131,8 +131,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, d: int = 2, small: int =
     """
     marked, rooted = _rooted(docs, shingle, d, small)
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(least.hint("merge"), "root").select("fp", "component_id")
-    return marked.join(named.hint("merge"), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = salted_join(rooted, least, ["root"], "fp").select("fp", "component_id")
+    return salted_join(marked, named, ["fp"], "doc_id").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def _rooted(docs: DataFrame, shingle: int, d: int, small: int) -> tuple[DataFrame, DataFrame]:
