@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import salted_join
+
 #: Fixed values of the format.
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -58,7 +60,7 @@ def typed(pages: DataFrame, min_payload: int = 0) -> DataFrame:
     rows = rows.withColumn("payload_digest", base32_sha1(F.col("payload")))
     least = F.octet_length("payload") >= min_payload
     kept = rows.filter(least).groupBy("payload_digest").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1").select("payload_digest", "first")
-    joined = rows.join(kept.hint("merge"), "payload_digest", "left")
+    joined = salted_join(rows, kept, ["payload_digest"], "page_id", "left")
     again = least & F.coalesce(~F.col("first").eqNullSafe(F.col("page_id")), F.lit(False)) & F.col("first").isNotNull()
     return joined.select("page_id", "url", "payload", "payload_digest", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("first")).alias("refers_to"))
 
