@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import cjk, events, geometry, headers, html, pages, regression, routing, tables, text
+from . import cjk, documents, events, geometry, headers, html, pages, regression, routing, tables, text
 
-MODULES = (text, cjk, tables, pages, headers, routing, geometry, events, regression, html)
+MODULES = (text, cjk, tables, pages, headers, routing, geometry, events, regression, html, documents)
 
 
 def queries() -> dict:
