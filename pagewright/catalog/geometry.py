@@ -114,7 +114,7 @@ def _sheet(boxes):
     return sheet, sheet.select("doc_id", "page_no").distinct().withColumn("page_w", F.lit(1000))
 
 
-@query(f"WITH {_COLS} SELECT page_no, box_id, CASE WHEN wide AND multi THEN CASE WHEN 495 >= 490 THEN -1 END ELSE col END AS col FROM c WHERE NOT wide", "boxes")
+@query(f"WITH {_COLS} SELECT page_no, box_id, col::BIGINT AS col FROM c WHERE NOT wide", "boxes")
 def column_bins(boxes):
     sheet, pages = _sheet(boxes)
     return G.columns(sheet, pages).filter("not wide").select("page_no", "box_id", "col")

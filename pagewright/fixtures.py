@@ -25,7 +25,7 @@ SELECT conv_id AS doc_id, turn + 1 AS page_no, turn // 2 AS batch FROM {conversa
     "header_pages": """
 SELECT doc_id, page_no, CASE WHEN page_no % 5 <> 0 THEN concat('HDR ', CAST(doc_id AS STRING), chr(10), body) ELSE body END AS body FROM {doc_pages}""",
     "table_rows": """
-SELECT doc_id, line_no, line FROM (
+SELECT doc_id, CAST(line_no AS BIGINT) AS line_no, line FROM (
   SELECT l_orderkey AS doc_id,
     2 + row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS line_no,
     concat('| ', CAST(l_linenumber AS STRING), ' | ', CASE WHEN l_returnflag = 'R' THEN ' ' ELSE l_returnflag END, ' | ',
