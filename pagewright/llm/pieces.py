@@ -6,9 +6,9 @@ exact cost to go of a search from the back: A* with them pops the N best
 segmentations one after the other, and expands nothing that does not lie on one
 of them (ties apart).
 
-No piece of the vocabularies at hand crosses from a word into the next mark or
-line end (this is looked up in the vocabulary; if one did, texts would not be
-cut there). So the lattice of a text is a chain of small lattices: each is
+No piece of the vocabularies at hand crosses from a word into the next mark,
+line end or punctuation (this is looked up in the vocabulary; if one did, texts
+would not be cut there). So the lattice of a text is a chain of small lattices: each is
 searched once while its cache lasts, and the N best of the chain are the N
 smallest sums of their gaps, found in the lattices with the smallest gaps.
 
@@ -23,6 +23,7 @@ import hashlib
 import heapq
 import math
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -33,27 +34,34 @@ from pyspark.sql import functions as F
 MARK, UNKNOWN_PENALTY = "▁", 10.0
 #: Scores are sums of whole multiples of 1 / SCALE, so that equal ones are equal on every path.
 SCALE = 1 << 20
-#: Lattices kept by each Python worker.
-CACHE = 200_000
+#: The gap of a lattice with one segmentation.
+NONE = 1 << 62
+#: Lattices, and words, that each Python worker keeps: so many new ones, and as many of before.
+CACHE = 400_000
 
 
 class Vocabulary:
-    """pieces: id -> text; prefixes: every prefix of a piece -> (id, score), or None where it is no piece itself."""
+    """pieces: id -> text; prefixes: every prefix of a piece -> (id, score * SCALE), or () where it is no piece itself."""
 
     def __init__(self, pieces: list[str], scores: list[float], special: set[int], unknown: int, byte_ids: list[int] | None):
         self.pieces, self.scores, self.unknown, self.byte_ids = pieces, scores, unknown, byte_ids
         self.bytes_of = {i: b for b, i in enumerate(byte_ids or ())}
         self.special = special
         plain = [(p, i) for i, p in enumerate(pieces) if i not in special and i not in self.bytes_of]
-        self.prefixes: dict[str, tuple[int, int] | None] = {}
+        self.prefixes: dict[str, tuple] = {}
         for p, i in plain:
             for k in range(1, len(p)):
-                self.prefixes.setdefault(p[:k], None)
+                self.prefixes.setdefault(p[:k], ())
         self.prefixes.update({p: (i, round(scores[i] * SCALE)) for p, i in plain})
         self.low = round((min((scores[i] for _, i in plain), default=0.0) - UNKNOWN_PENALTY) * SCALE)
         crossing = any(re.search(rf"[^{MARK}]{MARK}", p) for p, _ in plain)
         lines = any("\n" in p and p != "\n" for p, _ in plain)
         word = rf"{MARK}*[^{MARK}\n]+|{MARK}+" if not lines else rf"{MARK}*[^{MARK}]+|{MARK}+"
+        # punctuation that no piece has behind a letter
+        ends = "".join(re.escape(c) for c in ".,;:!?#$%&*|" if not any(re.search(rf"[^\W\d_]{re.escape(c)}", p) for p, _ in plain))
+        if ends and not lines:
+            word = rf"{MARK}*[^{MARK}\n{ends}]*[^\W\d_{MARK}](?=[{ends}])|" + word
+        self.by_words = not crossing
         self.cut = re.compile(r"(?s).+" if crossing else (word if lines else word + r"|\n"))
 
     @classmethod
@@ -109,68 +117,129 @@ def lattice(block: str, v: Vocabulary, n: int) -> list[tuple[int, list[int]]]:
     best, ends = [worst] * (size + 1), [[] for _ in range(size + 1)]
     best[0] = 0
     for i in range(size):
-        here, single = best[i], False
-        for j in range(i + 1, size + 1):
-            p = get(block[i:j], 0)
-            if p == 0:
+        here, p = best[i], get(block[i])
+        if p:
+            piece, s = p
+        else:  # no piece of one character: an unknown one
+            piece, s = -1, v.low
+        ends[i + 1].append((i, piece, s))
+        if here + s > best[i + 1]:
+            best[i + 1] = here + s
+        if p is None:
+            continue
+        for j in range(i + 2, size + 1):
+            p = get(block[i:j])
+            if p:
+                piece, s = p
+                ends[j].append((i, piece, s))
+                if here + s > best[j]:
+                    best[j] = here + s
+            elif p is None:
                 break
-            if p is not None:
-                ends[j].append((i, p[0], p[1]))
-                single |= j == i + 1
-                if here + p[1] > best[j]:
-                    best[j] = here + p[1]
-        if not single:
-            ends[i + 1].append((i, -1, v.low))
-            if here + v.low > best[i + 1]:
-                best[i + 1] = here + v.low
     heap, found, count = [(-best[size], size, 0, 0, None)], [], 0  # of equal ones, the one nearest to the front first
     pop, push = heapq.heappop, heapq.heappush
     while heap and len(found) < n:
-        _, at, _, g, tail = pop(heap)
-        if at == 0:
-            ids = []
-            while tail is not None:
-                start, i, tail = tail
-                ids += [i] if i >= 0 else v.unknown_ids(block[start])
-            found.append((g, ids))
-            continue
-        for start, i, s in ends[at]:
-            count += 1
-            push(heap, (-(g + s + best[start]), start, count, g + s, (start, i, tail)))
+        f, at, _, g, tail = pop(heap)
+        while at:  # some predecessor is as good as the state itself, so it would be popped next: go on with it
+            follow = None
+            for start, i, s in ends[at]:
+                h = g + s + best[start]
+                if follow is None and h == -f:
+                    follow = start, i, s
+                else:
+                    count += 1
+                    push(heap, (-h, start, count, g + s, (start, i, tail)))
+            at, i, s = follow
+            g, tail = g + s, (at, i, tail)
+        ids = []
+        while tail is not None:
+            start, i, tail = tail
+            if i >= 0:
+                ids.append(i)
+            else:
+                ids += v.unknown_ids(block[start])
+        found.append((g, ids))
     return found
 
 
 class Encoder:
     """Caches lattices; n best of whole texts."""
 
-    def __init__(self, v: Vocabulary, n: int):
-        self.v, self.n, self.cache = v, n, {}
+    def __init__(self, v: Vocabulary, n: int, more: bool = True):
+        self.v, self.n, self.more, self.cache, self.old = v, n, more, {}, {}
+        self.words: dict = {}
+        self.old_words: dict = {}
 
     def _block(self, block: str):
         """(score, ids as int32 bytes, decoded text, gaps to the next best, their ids)."""
-        found = lattice(block, self.v, self.n)
-        raw = [np.array(ids, np.int32).tobytes() for _, ids in found]
-        entry = (found[0][0], raw[0], self.v.decode(found[0][1]), found[0][0] - found[1][0] if len(found) > 1 else math.inf, [found[0][0] - s for s, _ in found], raw)
+        entry = self.old.get(block)
+        if entry is None:
+            entry = self._made(block)
         if len(self.cache) >= CACHE:
-            self.cache.clear()
+            self.old = dict(self.cache)
+            self.cache.clear()  # in place: encode() holds on to it
         self.cache[block] = entry
         return entry
 
+    def _made(self, block: str):
+        """(score, ids as int32 bytes, gap to the second best, whether it decodes to block, other scores' gaps and ids)."""
+        found = lattice(block, self.v, self.n)
+        top, ids = found[0]
+        rest = [(top - s, array("i", x).tobytes()) for s, x in found[1:]] if self.more else None
+        return top, array("i", ids).tobytes(), top - found[1][0] if len(found) > 1 else NONE, self.v.decode(ids) == block, rest
+
+    def _word(self, word: str):
+        """As _made, of a word with the mark in front, from the lattices that it is cut into."""
+        entry = self.old_words.get(word)
+        if entry is None:
+            parts = [self.cache.get(b) or self._block(b) for b in self.v.cut.findall(MARK + word)]
+            if len(parts) == 1:
+                entry = parts[0]
+            else:
+                scores, ids, gaps, good, _ = zip(*parts)
+                entry = sum(scores), b"".join(ids), min(gaps), all(good), None
+        if len(self.words) >= CACHE:
+            self.old_words = dict(self.words)
+            self.words.clear()
+        self.words[word] = entry
+        return entry
+
+    def digest(self, text: str | None):
+        """(score of the best, its ids, gap to the second best or None, whether the ids decode to the text)."""
+        if not text:
+            return 0, b"", None, True
+        if "  " in text or MARK in text or text[0] == " " or text[-1] == " " or not self.v.by_words:
+            entries = [self.cache.get(b) or self._block(b) for b in self.v.cut.findall(normalised(text))]
+        else:  # one mark before each word: most words have been seen
+            make, get = self._word, self.words.get
+            entries = [get(w) or make(w) for w in text.split(" ")]
+        scores, ids, gaps, good, _ = zip(*entries)
+        gap = min(gaps)
+        return sum(scores), b"".join(ids), None if gap == NONE else gap, all(good)
+
     def encode(self, text: str | None):
-        """(n best as (score, ids as int32 bytes), decoded best)."""
-        blocks = self.v.cut.findall(normalised(text or ""))
-        get, make = self.cache.get, self._block
-        entries = [get(b) or make(b) for b in blocks]
-        score = sum([e[0] for e in entries])
-        out = [(score / SCALE, b"".join([e[1] for e in entries]))]
-        if self.n > 1 and entries:
-            gaps = np.fromiter((e[3] for e in entries), np.float64, count=len(entries))
+        """The n best as (score, ids as int32 bytes)."""
+        if self.n == 1:
+            score, ids, _, _ = self.digest(text)
+            return [(score / SCALE, ids)]
+        make, get = self._block, self.cache.get
+        entries = [get(b) or make(b) for b in self.v.cut.findall(normalised(text or ""))]
+        if not entries:
+            return [(0.0, b"")]
+        scores, ids, gaps, _, rest = zip(*entries)
+        score = sum(scores)
+        out = [(score / SCALE, b"".join(ids))]
+        if self.n > 1:
             k = min(self.n - 1, len(gaps))
-            near = sorted(np.argpartition(gaps, k - 1)[:k].tolist(), key=lambda i: (gaps[i], i)) if k < len(gaps) else sorted(range(len(gaps)), key=lambda i: (gaps[i], i))
-            for gap, choice in _sums([entries[i][4] for i in near], self.n)[1:]:
-                swap = {i: entries[i][5][c] for i, c in zip(near, choice) if c}
-                out.append(((score - gap) / SCALE, b"".join([swap.get(i, e[1]) for i, e in enumerate(entries)])))
-        return out, "".join([e[2] for e in entries])
+            near = np.argpartition(np.array(gaps), k - 1)[:k].tolist() if k < len(gaps) else range(len(gaps))
+            near = sorted(near, key=lambda i: (gaps[i], i))
+            for gap, choice in _sums([[0, *(g for g, _ in rest[i])] for i in near], self.n)[1:]:
+                swapped = list(ids)
+                for i, c in zip(near, choice):
+                    if c:
+                        swapped[i] = rest[i][c - 1][1]
+                out.append(((score - gap) / SCALE, b"".join(swapped)))
+        return out
 
 
 def _sums(lists: list[list[int]], n: int) -> list[tuple[int, tuple[int, ...]]]:
@@ -188,19 +257,29 @@ def _sums(lists: list[list[int]], n: int) -> list[tuple[int, tuple[int, ...]]]:
     return out
 
 
+_LAST: list = []
+
+
+def _encoder(v: Vocabulary, n: int, more: bool) -> Encoder:
+    """The encoder of this Python worker; its cache serves one task after the other."""
+    if not _LAST or _LAST[0].v is not v or (_LAST[0].n, _LAST[0].more) != (n, more):
+        _LAST[:] = [Encoder(v, n, more)]
+    return _LAST[0]
+
+
 def _run(shared, n: int, digest: bool):
     schema = pa.schema([("doc_id", pa.int64()), ("n_best", pa.int32()), ("n_pieces", pa.int64()), ("score", pa.float64()), ("gap", pa.float64()), ("ids_sha256", pa.string()), ("round_trip", pa.bool_())]) if digest else pa.schema([("doc_id", pa.int64()), ("rank", pa.int32()), ("score", pa.float64()), ("ids", pa.list_(pa.int32()))])
 
     def run(it):
-        encoder = Encoder(shared.value, n)
+        encoder = _encoder(shared.value, n, not digest)
         for batch in it:
             rows, size = [], 0
             for i, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                best, decoded = encoder.encode(text)
                 if digest:
-                    ids = best[0][1]
-                    rows.append((i, len(best), len(ids) // 4, round(best[0][0], 6) + 0.0, round(best[0][0] - best[1][0], 6) + 0.0 if len(best) > 1 else None, hashlib.sha256(ids).hexdigest(), decoded == normalised(text or "")))
+                    score, ids, gap, good = encoder.digest(text)
+                    rows.append((i, 1 if gap is None else n, len(ids) // 4, round(score / SCALE, 6) + 0.0, None if gap is None else round(gap / SCALE, 6) + 0.0, hashlib.sha256(ids).hexdigest(), good))
                     continue
+                best = encoder.encode(text)
                 for rank, (score, ids) in enumerate(best):
                     rows.append((i, rank, score, np.frombuffer(ids, np.int32)))
                     size += len(ids)
@@ -234,9 +313,9 @@ def encode(docs: DataFrame, v: Vocabulary, n: int = 1) -> DataFrame:
     return _on(docs, v, n, False)
 
 
-def digests(docs: DataFrame, v: Vocabulary, n: int = 2) -> DataFrame:
-    """doc_id, n_best, n_pieces, score, gap (to the second best, else null), ids_sha256 (little-endian int32), round_trip."""
-    return _on(docs, v, n, True)
+def digests(docs: DataFrame, v: Vocabulary) -> DataFrame:
+    """doc_id, n_best (2, or 1 where a text has one segmentation), n_pieces, score, gap (to the second best, else null), ids_sha256 (little-endian int32), round_trip."""
+    return _on(docs, v, 2, True)
 
 
 def decode(rows: DataFrame, v: Vocabulary) -> DataFrame:

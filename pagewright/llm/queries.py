@@ -16,7 +16,7 @@ PIECES = os.environ.get("PAGEWRIGHT_PIECES", "/opt/tokenizers/piece_bpe_32k.mode
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pieces.digests(table(spark, sf_dir, "documents"), pieces.Vocabulary.load(PIECES), 2)
+    return pieces.digests(table(spark, sf_dir, "documents"), pieces.Vocabulary.load(PIECES))
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -66,17 +66,19 @@ def test_lattice_against_all_segmentations(vocabulary, block):
 
 def test_chain_is_the_lattice_of_the_whole_text(vocabulary):
     rng = random.Random(3)
-    for text in ["the heat of it", "a\nb  c", "Éan Éan", "".join(rng.choice("ab é\n") for _ in range(14)), " lead and trail "]:
+    for text in ["the heat of it", "a\nb  c", "Éan Éan", "word. word.\nNext, word", "▁ a", "a\n b", "".join(rng.choice("ab é\n") for _ in range(14)), " lead and trail "]:
         whole = P.lattice(P.normalised(text), vocabulary, 9)
-        got, decoded = P.Encoder(vocabulary, 9).encode(text)
-        assert [s * P.SCALE for s, _ in got] == [s for s, _ in whole] and decoded == P.normalised(text)
+        got = P.Encoder(vocabulary, 9).encode(text)
+        assert [s * P.SCALE for s, _ in got] == [s for s, _ in whole] and len({ids for _, ids in got}) == len(got)
+        score, ids, gap, good = P.Encoder(vocabulary, 2, False).digest(text)
+        assert (score, score - gap) == (whole[0][0], whole[1][0]) and good and ids == got[0][1]
 
 
 def test_against_the_library(vocabulary):
     library = unigram(vocabulary)
     for text in ["Hello world, this is a test.", "The heat of the night", "réeuxment de la", "a b  c", "x"]:
         want = library.nbest_encode_as_ids(text, 5)
-        got, _ = P.Encoder(vocabulary, 5).encode(text)
+        got = P.Encoder(vocabulary, 5).encode(text)
         assert [round(score(i, vocabulary), 3) for i in want] == [round(s, 3) for s, _ in got]
         assert want[0] == list(struct.unpack(f"<{len(got[0][1]) // 4}i", got[0][1]))
 
@@ -91,7 +93,7 @@ def test_frames(spark, vocabulary):
     for r in back.collect():
         texts.setdefault(r.doc_id, set()).add(r.text)
     assert texts == {1: {"the heat of it"}, 2: {""}, 3: {""}, None: {"a\nb"}, 4: {rows[5][1]}, 5: {"x" * 5000}, 6: {rows[7][1]}}
-    out = P.digests(df, vocabulary, 3).collect()
+    out = P.digests(df, vocabulary).collect()
     assert len(out) == len(rows) and all(r.round_trip and (r.gap is None or r.gap >= 0) for r in out)
     assert [(r.n_best, r.n_pieces, r.score, r.gap) for r in out if r.doc_id in (2, 3)] == [(1, 0, 0.0, None)] * 2
     assert P.digests(df.limit(0), vocabulary).collect() == [] and P.encode(df.limit(0), vocabulary).collect() == []
