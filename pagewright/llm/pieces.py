@@ -36,8 +36,8 @@ MARK, UNKNOWN_PENALTY = "▁", 10.0
 SCALE = 1 << 20
 #: The gap of a lattice with one segmentation.
 NONE = 1 << 62
-#: Lattices, and words, that each Python worker keeps: so many new ones, and as many of before.
-CACHE = 400_000
+#: Lattices, and words, that each Python worker keeps: so many new ones, and as many of before. About 0.3 kB each.
+CACHE = 50_000
 
 
 class Vocabulary:
@@ -165,8 +165,8 @@ def lattice(block: str, v: Vocabulary, n: int) -> list[tuple[int, list[int]]]:
 class Encoder:
     """Caches lattices; n best of whole texts."""
 
-    def __init__(self, v: Vocabulary, n: int, more: bool = True):
-        self.v, self.n, self.more, self.cache, self.old = v, n, more, {}, {}
+    def __init__(self, v: Vocabulary, n: int, more: bool = True, size: int = CACHE):
+        self.v, self.n, self.more, self.size, self.cache, self.old = v, n, more, size, {}, {}
         self.words: dict = {}
         self.old_words: dict = {}
 
@@ -175,7 +175,7 @@ class Encoder:
         entry = self.old.get(block)
         if entry is None:
             entry = self._made(block)
-        if len(self.cache) >= CACHE:
+        if len(self.cache) >= self.size:
             self.old = dict(self.cache)
             self.cache.clear()  # in place: encode() holds on to it
         self.cache[block] = entry
@@ -188,17 +188,23 @@ class Encoder:
         rest = [(top - s, array("i", x).tobytes()) for s, x in found[1:]] if self.more else None
         return top, array("i", ids).tobytes(), top - found[1][0] if len(found) > 1 else NONE, self.v.decode(ids) == block, rest
 
+    def _part(self, block: str):
+        """An entry of words where the block is one with the mark in front, else of cache."""
+        if block[0] == MARK and block[1:2] not in ("", MARK):
+            return self.words.get(block[1:]) or self._word(block[1:])
+        return self.cache.get(block) or self._block(block)
+
     def _word(self, word: str):
         """As _made, of a word with the mark in front, from the lattices that it is cut into."""
         entry = self.old_words.get(word)
         if entry is None:
-            parts = [self.cache.get(b) or self._block(b) for b in self.v.cut.findall(MARK + word)]
-            if len(parts) == 1:
-                entry = parts[0]
+            blocks = self.v.cut.findall(MARK + word)
+            if len(blocks) == 1:
+                entry = self._made(blocks[0])
             else:
-                scores, ids, gaps, good, _ = zip(*parts)
+                scores, ids, gaps, good, _ = zip(*map(self._part, blocks))
                 entry = sum(scores), b"".join(ids), min(gaps), all(good), None
-        if len(self.words) >= CACHE:
+        if len(self.words) >= self.size:
             self.old_words = dict(self.words)
             self.words.clear()
         self.words[word] = entry
@@ -260,18 +266,18 @@ def _sums(lists: list[list[int]], n: int) -> list[tuple[int, tuple[int, ...]]]:
 _LAST: list = []
 
 
-def _encoder(v: Vocabulary, n: int, more: bool) -> Encoder:
+def _encoder(v: Vocabulary, n: int, more: bool, size: int) -> Encoder:
     """The encoder of this Python worker; its cache serves one task after the other."""
-    if not _LAST or _LAST[0].v is not v or (_LAST[0].n, _LAST[0].more) != (n, more):
-        _LAST[:] = [Encoder(v, n, more)]
+    if not _LAST or _LAST[0].v is not v or (_LAST[0].n, _LAST[0].more, _LAST[0].size) != (n, more, size):
+        _LAST[:] = [Encoder(v, n, more, size)]
     return _LAST[0]
 
 
-def _run(shared, n: int, digest: bool):
+def _run(shared, n: int, digest: bool, cache: int):
     schema = pa.schema([("doc_id", pa.int64()), ("n_best", pa.int32()), ("n_pieces", pa.int64()), ("score", pa.float64()), ("gap", pa.float64()), ("ids_sha256", pa.string()), ("round_trip", pa.bool_())]) if digest else pa.schema([("doc_id", pa.int64()), ("rank", pa.int32()), ("score", pa.float64()), ("ids", pa.list_(pa.int32()))])
 
     def run(it):
-        encoder = _encoder(shared.value, n, not digest)
+        encoder = _encoder(shared.value, n, not digest, cache)
         for batch in it:
             rows, size = [], 0
             for i, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
@@ -296,26 +302,26 @@ def _batch(rows, schema):
     return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
 
-def _on(docs: DataFrame, v: Vocabulary, n: int, digest: bool) -> DataFrame:
+def _on(docs: DataFrame, v: Vocabulary, n: int, digest: bool, size: int) -> DataFrame:
     if n < 1:
         raise ValueError("n must be at least 1")
-    run, schema = _run(docs.sparkSession.sparkContext.broadcast(v), n, digest)
+    run, schema = _run(docs.sparkSession.sparkContext.broadcast(v), n, digest, size)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
 
-def encode(docs: DataFrame, v: Vocabulary, n: int = 1) -> DataFrame:
+def encode(docs: DataFrame, v: Vocabulary, n: int = 1, cache: int = CACHE) -> DataFrame:
     """doc_id, rank (0: best), score, ids: up to n rows for each row of docs.
 
     Null and empty texts: one segmentation, without ids, score 0. Of equal
     scores the one found first counts, the same on every run. Null doc_ids and
     repeated rows stay; other columns are ignored. Empty table: empty result.
     """
-    return _on(docs, v, n, False)
+    return _on(docs, v, n, False, cache)
 
 
-def digests(docs: DataFrame, v: Vocabulary) -> DataFrame:
+def digests(docs: DataFrame, v: Vocabulary, cache: int = 8 * CACHE) -> DataFrame:
     """doc_id, n_best (2, or 1 where a text has one segmentation), n_pieces, score, gap (to the second best, else null), ids_sha256 (little-endian int32), round_trip."""
-    return _on(docs, v, 2, True)
+    return _on(docs, v, 2, True, cache)
 
 
 def decode(rows: DataFrame, v: Vocabulary) -> DataFrame:
