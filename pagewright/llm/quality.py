@@ -185,12 +185,12 @@ class Model:
     accuracy: dict[str, tuple[float, float]]  # of each labeller: P(bad vote | bad), P(good vote | good)
 
 
-VIEW = "struct<junk:string,toxic:string,words:array<long>,steps:array<int>>"
+VIEW = "struct<junk:string,toxic:string,words:binary,steps:array<int>>"
 
 
 def _viewed(lists):
     """Votes as strings of '-', '0', '+'; words and steps."""
-    kind = pa.struct([("junk", pa.string()), ("toxic", pa.string()), ("words", pa.list_(pa.int64())), ("steps", pa.list_(pa.int32()))])
+    kind = pa.struct([("junk", pa.string()), ("toxic", pa.string()), ("words", pa.binary()), ("steps", pa.list_(pa.int32()))])
     sign = lambda votes: "".join("-0+"[v + 1] for v in votes)
 
     @F.arrow_udf(VIEW)
@@ -198,7 +198,7 @@ def _viewed(lists):
         out = []
         for t in text.to_pylist():
             v = view(t)
-            out.append({"junk": sign(v.votes), "toxic": sign(_toxic_votes(v.words, lists)), "words": v.words.view(np.int64), "steps": v.steps})
+            out.append({"junk": sign(v.votes), "toxic": sign(_toxic_votes(v.words, lists)), "words": v.words.tobytes(), "steps": v.steps})
         return pa.array(out, kind)
 
     return viewed
@@ -231,7 +231,7 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, sample: int = SAMPLE,
         part = int(min(1.0, labelled / max(1, n)) * (1 << 20)) + 1
         few = labels.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < part).limit(labelled)  # at most ``labelled`` rows: small enough to broadcast
         seen = docs.filter("text is not null").join(F.broadcast(few), "doc_id").select("doc_id", "toxic", _viewed(lists)("text")["words"].alias("words")).dropDuplicates(["doc_id"])
-        rows = sorted(((r.doc_id, np.array(r.words, np.int64).view(np.uint64), r.toxic) for r in seen.toLocalIterator()), key=lambda r: xxhash.xxh64_intdigest(str(r[0])))
+        rows = sorted(((r.doc_id, np.frombuffer(r.words, np.uint64), r.toxic) for r in seen.toLocalIterator()), key=lambda r: xxhash.xxh64_intdigest(str(r[0])))
         lists = _word_lists([(w, t) for _, w, t in rows])
     counted = [(r.p, r.n) for r in docs.select(_voted(lists)("text").alias("p")).groupBy("p").agg(F.count("*").alias("n")).collect()]
     patterns = sorted(counted)
@@ -247,7 +247,7 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, sample: int = SAMPLE,
     chosen = _sampled(docs, sample, int(counts.sum())).select("h", _viewed(lists)("text").alias("v")).select("h", "v.*")
     rows, junk, toxic = [], [], []
     for r in sorted(chosen.toLocalIterator(), key=lambda r: (r.h, r.junk)):
-        v = View([], r.steps, np.array(r.words, np.int64).view(np.uint64))
+        v = View([], r.steps, np.frombuffer(r.words, np.uint64))
         rows.append(_features(v, ["-0+".index(c) - 1 for c in r.toxic]))
         junk.append(posterior[0].get(r.junk, 0.0))
         toxic.append(posterior[1].get(r.toxic, 0.0))
