@@ -273,21 +273,22 @@ def _encoder(v: Vocabulary, n: int, more: bool, size: int) -> Encoder:
     return _LAST[0]
 
 
-def _run(shared, n: int, digest: bool, cache: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("n_best", pa.int32()), ("n_pieces", pa.int64()), ("score", pa.float64()), ("gap", pa.float64()), ("ids_sha256", pa.string()), ("round_trip", pa.bool_())]) if digest else pa.schema([("doc_id", pa.int64()), ("rank", pa.int32()), ("score", pa.float64()), ("ids", pa.list_(pa.int32()))])
+def _run(shared, n: int, digest: bool, cache: int, hashed: bool = False):
+    schema = pa.schema([("doc_id", pa.int64()), ("n_best", pa.int32()), ("n_pieces", pa.int64()), ("score", pa.float64()), ("gap", pa.float64()), ("ids_sha256", pa.string()), ("round_trip", pa.bool_())]) if digest else pa.schema([("doc_id", pa.int64()), ("rank", pa.int32()), ("score", pa.float64()), ("ids", pa.list_(pa.int32())), *[("th", pa.int64())] * hashed])
 
     def run(it):
         encoder = _encoder(shared.value, n, not digest, cache)
         for batch in it:
             rows, size = [], 0
-            for i, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+            hashes = [(x,) for x in batch.column("th").to_pylist()] if hashed else [()] * batch.num_rows
+            for i, text, th in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), hashes):
                 if digest:
                     score, ids, gap, good = encoder.digest(text)
                     rows.append((i, 1 if gap is None else n, len(ids) // 4, round(score / SCALE, 6) + 0.0, None if gap is None else round(gap / SCALE, 6) + 0.0, hashlib.sha256(ids).hexdigest(), good))
                     continue
                 best = encoder.encode(text)
                 for rank, (score, ids) in enumerate(best):
-                    rows.append((i, rank, score, np.frombuffer(ids, np.int32)))
+                    rows.append((i, rank, score, np.frombuffer(ids, np.int32), *th))
                     size += len(ids)
                 if size > 1 << 23:
                     yield _batch(rows, schema)
@@ -302,11 +303,12 @@ def _batch(rows, schema):
     return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
 
-def _on(docs: DataFrame, v: Vocabulary, n: int, digest: bool, size: int) -> DataFrame:
+def _on(docs: DataFrame, v: Vocabulary, n: int, digest: bool, size: int, hashed: bool = False) -> DataFrame:
     if n < 1:
         raise ValueError("n must be at least 1")
-    run, schema = _run(docs.sparkSession.sparkContext.broadcast(v), n, digest, size)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    run, schema = _run(docs.sparkSession.sparkContext.broadcast(v), n, digest, size, hashed)
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), *[F.xxhash64(F.coalesce(text, F.lit(""))).alias("th")] * hashed).mapInArrow(run, schema)
 
 
 def encode(docs: DataFrame, v: Vocabulary, n: int = 1, cache: int = CACHE) -> DataFrame:
@@ -334,3 +336,15 @@ def decode(rows: DataFrame, v: Vocabulary) -> DataFrame:
         return pa.array([one(x) for x in ids.to_pylist()], pa.string())
 
     return rows.select(*[decoded("ids").alias("text") if c == "ids" else F.col(f"`{c}`") for c in rows.columns])
+
+
+def segmentations(docs: DataFrame, v: Vocabulary, n: int, cache: int = CACHE) -> DataFrame:
+    """doc_id, rank, score, n_pieces, ids_sha256 (little-endian int32), round_trip (decode() gives the text): a row for each row of encode()."""
+
+    @F.arrow_udf("string")
+    def digest(ids: pa.Array) -> pa.Array:
+        return pa.array([hashlib.sha256(np.asarray(x, "<i4").tobytes()).hexdigest() for x in ids.to_pylist()], pa.string())
+
+    coded = _on(docs, v, n, False, cache, True)
+    coded = coded.select("doc_id", "rank", F.round("score", 6).alias("score"), F.size("ids").cast("long").alias("n_pieces"), digest("ids").alias("ids_sha256"), "th", "ids")
+    return decode(coded, v).select("doc_id", "rank", "score", "n_pieces", "ids_sha256", (F.xxhash64("text") == F.col("th")).alias("round_trip"))

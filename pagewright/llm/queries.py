@@ -13,10 +13,13 @@ from .common import shared_path, table
 
 #: The model file whose pieces op1 and the pipeline use.
 PIECES = os.environ.get("PAGEWRIGHT_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
+#: Segmentations of a text that op1 returns.
+N_BEST = 5
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pieces.digests(table(spark, sf_dir, "documents"), pieces.Vocabulary.load(PIECES))
+    """The N_BEST segmentations of each text, decoded again."""
+    return pieces.segmentations(table(spark, sf_dir, "documents"), pieces.Vocabulary.load(PIECES), N_BEST)
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

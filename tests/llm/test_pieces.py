@@ -1,3 +1,4 @@
+import hashlib
 import math
 import random
 import struct
@@ -6,6 +7,7 @@ import pytest
 import sentencepiece
 
 from pagewright.llm import pieces as P
+from pagewright.llm import queries
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
@@ -101,3 +103,17 @@ def test_frames(spark, vocabulary):
 
 def test_scores_are_zipf(vocabulary):
     assert vocabulary.scores[1000] == -math.log(2 + 741)
+
+
+def test_query_returns_every_rank(spark, vocabulary, tmp_path):
+    texts = {1: "the heat of it", 2: None, 3: "", 4: "word. word.\nNext, word", 5: " a  b", 6: "x"}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    out = queries.queries()["op1_sentencepiece"](spark, str(tmp_path)).collect()
+    assert all(r.round_trip for r in out)
+    for i, text in texts.items():
+        rows = sorted((r.rank, r.score) for r in out if r.doc_id == i)
+        whole = P.lattice(P.normalised(text), vocabulary, queries.N_BEST) if text else [(0, [])]
+        assert rows == [(k, pytest.approx(s / P.SCALE, abs=1e-6)) for k, (s, _) in enumerate(whole)]
+        best = next(r for r in out if r.doc_id == i and r.rank == 0)
+        assert best.ids_sha256 == hashlib.sha256(struct.pack(f"<{len(whole[0][1])}i", *whole[0][1])).hexdigest() and best.n_pieces == len(whole[0][1])
+        assert len({r.ids_sha256 for r in out if r.doc_id == i}) == len(rows)
