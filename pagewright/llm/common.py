@@ -55,7 +55,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     schema = df.schema
     del df
     release(spark)
-    return spark.read.schema(schema).parquet(path)
+    found = spark.read.schema(schema).parquet(path)
+    found.written_to = path
+    return found
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Remove the files of tables from written() that nothing reads any more, so that a chain of jobs does not add them up."""
+    for t in tables:
+        _remove(t.sparkSession, t.written_to)
 
 
 def release(spark: SparkSession) -> None:
@@ -76,6 +84,21 @@ def salted_join(left: DataFrame, right: DataFrame, on: list[str], by: str, how:
     return salted.join(right.withColumn("_salt", F.explode(F.array(*[F.lit(i).cast("long") for i in range(salts)]))).hint("merge"), [*on, "_salt"], how).drop("_salt")
 
 
+def hashed_rows(docs: DataFrame) -> DataFrame:
+    """row (all columns), id and th (the hash of the text) of each row."""
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    return docs.select(F.struct(*names).alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.col("text").cast("string")).alias("th"))
+
+
+def kept_rows(docs: DataFrame, keepers: DataFrame) -> DataFrame:
+    """The rows of docs that keepers (k: struct with doc_id and th, the hash of the text) name, each once."""
+    keepers = written(keepers.select(F.col("k.doc_id").alias("kept_id"), F.col("k.th").alias("kept_th")), "keepers")
+    hashed = hashed_rows(docs)
+    on = hashed["id"].eqNullSafe(keepers["kept_id"]) & (hashed["th"] == keepers["kept_th"])
+    found = hashed.hint("merge").join(keepers, on, "left_semi")
+    return found.dropDuplicates(["id", "th"]).select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+
+
 def words_of(text: str | None) -> list[bytes]:
     """Words [^\\x20\\x09-\\x0D]+ of the UTF-8 text; bytes.split() splits at just these characters."""
     return text.encode("utf-8", "surrogatepass").split() if text else []

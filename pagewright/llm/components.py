@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import salted_join, written
+from .common import dropped, salted_join, written
 
 
 def _both_ways(links: DataFrame) -> DataFrame:
@@ -35,7 +35,8 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     links = written(links.filter("a <> b").select("a", "b").distinct(), "links")
     seen = None
     for _ in range(rounds):
-        links = written(_small_star(_large_star(links)), "links")
+        before, links = links, written(_small_star(_large_star(links)), "links")
+        dropped(before)
         now = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(now) == seen:
             break

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SEED, salted_join, words_of, written
+from .common import SEED, kept_rows, salted_join, words_of, written
 from .components import components
 
 BITS = 64
@@ -152,13 +152,3 @@ def keep_one(docs: DataFrame, shingle: int = 3, d: int = 2, small: int = 64) ->
     marked, rooted = _rooted(docs, shingle, d, small)
     keepers = marked.join(rooted.select("fp", "root").hint("merge"), "fp").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("k"))
     return kept_rows(docs, keepers)
-
-
-def kept_rows(docs: DataFrame, keepers: DataFrame) -> DataFrame:
-    """The rows of docs that keepers (k: struct with doc_id and th, the hash of the text) name, each once."""
-    keepers = written(keepers.select(F.col("k.doc_id").alias("kept_id"), F.col("k.th").alias("kept_th")), "keepers")
-    names = docs.columns
-    hashed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.col("text").cast("string")).alias("th"))
-    on = hashed["id"].eqNullSafe(keepers["kept_id"]) & (hashed["th"] == keepers["kept_th"])
-    found = hashed.hint("merge").join(keepers, on, "left_semi")
-    return found.dropDuplicates(["id", "th"]).select(*[F.col("row").getField(c).alias(c) for c in names])
