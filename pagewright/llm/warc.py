@@ -9,7 +9,11 @@ separator (longer members are followed by an empty member, which ends so too).
 Reader: after a failed check (not inflatable, no version line, bad length, no
 record end, wrong payload digest) it searches for the next member or version
 line from which a valid record can be read, goes on there, and logs the bytes
-in between as a quarantined gap.
+in between as a quarantined gap. A damaged member gives what was inflated before
+the damage: if it was cut off, each whole record; if its data are wrong, each
+record that its own payload digest confirms. Its gap begins behind the input
+that those records came from. Inside a sound member, records and gaps have
+places in the inflated bytes too.
 
 An archive is read as a whole by one task; the writer bounds archives by
 ``records_per_file``, and others must stay below Spark's limit of 2 GB for a
@@ -36,8 +40,10 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 END = b"\r\n\r\n"
 VERSION = re.compile(rb"WARC/\d\.\d\r?\n")
 MARK = re.compile(rb"\x1f\x8b\x08|WARC/\d\.\d\r?\n")
-#: Longest header block, and longest inflated member, that count as valid.
-MAX_HEADER, MAX_MEMBER = 1 << 16, 1 << 30
+#: Longest inflated member that counts as valid, and bytes that are inflated at once: the end of a damaged member's good part is known to so many bytes.
+MAX_MEMBER, PIECE = 1 << 30, 512
+#: Fixed values of the format: types whose block is no HTTP message, and digest algorithms.
+WHOLE_TYPES, ALGORITHMS = ("warcinfo", "resource", "metadata", "conversion", "continuation"), ("sha1", "sha256", "sha512", "md5")
 
 
 def base32_sha1(payload: Column) -> Column:
@@ -106,7 +112,7 @@ def _members(it):
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
 
 
-def write(pages: DataFrame, path: str, min_payload: int = 0, compress: bool = True, records_per_file: int = 2000) -> None:
+def write(pages: DataFrame, path: str, min_payload: int = 0, compress: bool = True, records_per_file: int = 5000) -> None:
     """Write pages (page_id, url, html; other columns are ignored) as WARC part files under path.
 
     Null html: empty payload. Null url: no target header. Null page_id: record
@@ -127,7 +133,7 @@ def _parse(data: bytes, at: int):
     m = VERSION.match(data, at)
     if not m:
         return "no version line"
-    stop = data.find(END, m.end() - 2, m.end() + MAX_HEADER)
+    stop = data.find(END, m.end() - 2)
     if stop < 0:
         return "no header end"
     headers = {}
@@ -150,88 +156,123 @@ def _parse(data: bytes, at: int):
 
 
 def _inflate(data: bytes, at: int):
-    """The gzip member at data[at:]: (bytes, end), or the reason why it is not valid."""
+    """(inflated bytes, end, None) of the gzip member at data[at:]; of a damaged one what came before the damage, [(input, inflated) so far], and the reason."""
     d = zlib.decompressobj(31)
-    out, size, pos = [], 0, at
+    out, size, pos, steps, piece = [], 0, at, [], PIECE
     try:
         while not d.eof:
-            piece = d.unconsumed_tail or data[pos : pos + (1 << 16)]
-            if not d.unconsumed_tail:
-                pos += len(piece)
-            if not piece:
-                return "truncated member"
-            out.append(d.decompress(piece, 1 << 22))
+            got = data[pos : pos + piece]
+            if not got:
+                return b"".join(out), steps, "truncated member"
+            pos += len(got)
+            out.append(d.decompress(got))
             size += len(out[-1])
+            steps.append((pos, size))
             if size > MAX_MEMBER:
-                return "member too long"
+                return b"", [], "member too long"
     except zlib.error as e:
-        return f"bad member: {str(e)[:60]}"
-    return b"".join(out), pos - len(d.unused_data)
-
-
-def _judge(headers: dict, block: bytes):
-    """(payload or None, digest, why not valid)."""
-    given = headers.get("warc-payload-digest", "").removeprefix("sha1:")
-    if headers.get("warc-type") != "response":
+        return b"".join(out), steps, f"bad member: {str(e)[:60]}"
+    return b"".join(out), pos - len(d.unused_data), None
+
+
+def _confirmed(given: str, payload: bytes):
+    """Whether a digest header's value is the payload's; None where there is none, or of no known algorithm."""
+    name, colon, value = given.partition(":")
+    if not colon:
+        name, value = "sha1", given
+    name = name.strip().lower().replace("-", "")
+    if not value or name not in ALGORITHMS:
+        return None
+    raw = hashlib.new(name, payload).digest()
+    return value.strip().lower() == raw.hex() or value.strip().upper().rstrip("=") == base64.b32encode(raw).decode().rstrip("=")
+
+
+def _judge(headers: dict, block: bytes, damaged: bool):
+    """(payload or None, digest, why not valid). damaged: only a digest can vouch for the block."""
+    given, kind = headers.get("warc-payload-digest", ""), headers.get("warc-type")
+    digest = given.removeprefix("sha1:")
+    if kind == "revisit":
         if m := re.search(rb"(?i)\r\ncontent-length: *(\d+)\r\n", block):
             headers["http-length"] = int(m[1])  # the HTTP header of a revisit keeps the payload's length
-        return None, given, None
-    payload = block.partition(END)[2] if block.startswith(b"HTTP/") else block
-    digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
-    return payload, digest, "payload digest differs" if given and given != digest else None
+        own = _confirmed(headers.get("warc-block-digest", ""), block)
+        return None, digest, "block digest differs" if own is False else "in damaged member" if damaged and own is None else None
+    payload = block.partition(END)[2] if kind not in WHOLE_TYPES and block.startswith((b"HTTP/", b"GET ", b"POST ", b"HEAD ")) else block
+    own = _confirmed(given, payload)
+    if not given and own is None:
+        digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
+    whole = _confirmed(headers.get("warc-block-digest", ""), block)
+    if own is False or whole is False:
+        return payload, digest, ("payload" if own is False else "block") + " digest differs"
+    return payload, digest, "in damaged member" if damaged and own is None and whole is None else None
+
+
+def _inside(inner: bytes, damaged: bool, cut: bool):
+    """Records and gaps of a member's inflated bytes: ("record", begin, end, headers, payload, digest), ("gap", begin, end, reason)."""
+    found, pos, n = [], 0, len(inner)
+    while pos < n:
+        r = _parse(inner, pos)
+        if not isinstance(r, str):
+            payload, digest, bad = _judge(r[0], r[1], damaged)
+            found.append(("gap", pos, r[2], bad) if bad else ("record", pos, r[2], r[0], payload, digest))
+            pos = r[2]
+            continue
+        nxt = next((m.start() for m in VERSION.finditer(inner, pos + 1) if not isinstance(_parse(inner, m.start()), str)), n)
+        if nxt < n or not cut:  # what follows the last record of a cut member belongs to the gap of the member
+            found.append(("gap", pos, nxt, r))
+        pos = nxt
+    return found
 
 
 def _unit(data: bytes, at: int):
-    """What stands at data[at:]: (list of (headers, block, reason), end, None), or (None, at, reason)."""
-    if data[at : at + 2] == b"\x1f\x8b":
-        got = _inflate(data, at)
-        if isinstance(got, str):
-            return None, at, got
-        inner, end = got
-        found, pos = [], 0
-        while pos < len(inner):
-            r = _parse(inner, pos)
-            if isinstance(r, str):
-                nxt = next((m.start() for m in VERSION.finditer(inner, pos + 1) if not isinstance(_parse(inner, m.start()), str)), None)
-                found.append((None, None, f"in member: {r}"))
-                if nxt is None:
-                    break
-                pos = nxt
-                continue
-            found.append((r[0], r[1], None))
-            pos = r[2]
-        return found, end, None
-    r = _parse(data, at)
-    return (None, at, r) if isinstance(r, str) else ([(r[0], r[1], None)], r[2], None)
+    """What stands at data[at:]: (rows as salvage() yields them, end of the bytes accounted for, reason of a gap that begins there), or (None, at, reason)."""
+    if data[at : at + 2] != b"\x1f\x8b":
+        r = _parse(data, at)
+        if isinstance(r, str):
+            return None, at, r
+        payload, digest, bad = _judge(r[0], r[1], False)
+        return [("gap", at, r[2] - at, bad, None, None) if bad else ("record", at, r[2] - at, r[0], payload, digest, None, None)], r[2], None
+    inner, end, why = _inflate(data, at)
+    found = _inside(inner, why is not None and why != "truncated member", why is not None)
+    if why is None:
+        alone = len(found) == 1 and found[0][1] == 0 and found[0][2] == len(inner)
+        place = lambda b, e: (None, None) if alone else (b, e - b)
+        return [(kind, at, end - at, *rest, *place(b, e)) for kind, b, e, *rest in found], end, None
+    good = [f for f in found if f[0] == "record"]
+    if not good:
+        return None, at, why
+    last = good[-1][2]
+    found = found[: found.index(good[-1]) + 1]
+    reached = next(i for i, size in end if size >= last)
+    return [(kind, at, reached - at, *rest, b, e - b) for kind, b, e, *rest in found], reached, why
 
 
 def salvage(data: bytes):
-    """Yield ("record", offset, length, headers, payload, digest) and ("gap", offset, length, reason) over a whole archive."""
+    """Over a whole archive, in order: ("record", offset, length, headers, payload, digest, inner offset, inner length) and ("gap", offset, length, reason, inner offset, inner length).
+
+    Offset and length are bytes of the archive; of something inside a gzip
+    member they are the member's (of a damaged one: of its good part), and the
+    inner ones are places in its inflated bytes, else null. No two of them
+    overlap. Line ends and zero bytes between records are no gap.
+    """
     at, n = 0, len(data)
     while at < n:
-        units, end, why = _unit(data, at)
-        if units is None:
-            nxt = n
-            for m in MARK.finditer(data, at + 1):
-                if _unit(data, m.start())[0] is not None:
-                    nxt = m.start()
-                    break
-            if data[at:nxt].strip(b"\r\n\0"):
-                yield "gap", at, nxt - at, why
-            at = nxt
+        rows, end, why = _unit(data, at)
+        yield from rows or ()
+        if why is None:
+            at = end
             continue
-        for headers, block, bad in units:
-            if bad is None:
-                payload, digest, bad = _judge(headers, block)
-            if bad is None:
-                yield "record", at, end - at, headers, payload, digest
-            else:
-                yield "gap", at, end - at, bad
-        at = end
+        nxt = n
+        for m in MARK.finditer(data, end + (rows is None)):
+            if _unit(data, m.start())[0]:
+                nxt = m.start()
+                break
+        if data[end:nxt].strip(b"\r\n\0"):
+            yield "gap", end, nxt - end, why, None, None
+        at = nxt
 
 
 SCHEMA = pa.schema(
-    [("path", pa.string()), ("kind", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("reason", pa.string()), ("record_id", pa.string()), ("record_type", pa.string())]
+    [("path", pa.string()), ("kind", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("inner_offset", pa.int64()), ("inner_length", pa.int64()), ("reason", pa.string()), ("record_id", pa.string()), ("record_type", pa.string())]
     + [("target_uri", pa.string()), ("refers_to", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary())]
 )
 
@@ -239,10 +280,10 @@ SCHEMA = pa.schema(
 def _row(path, found, payloads):
     kind, at, length = found[:3]
     if kind == "gap":
-        return (path, kind, at, length, found[3], *[None] * 7)
-    _, _, _, headers, payload, digest = found
-    size = len(payload) if payload is not None else headers.get("http-length")
-    return (path, kind, at, length, None, headers.get("warc-record-id"), headers.get("warc-type"), headers.get("warc-target-uri"), headers.get("warc-refers-to"), size, digest or None, payload if payloads else None)
+        return (path, kind, at, length, found[4], found[5], found[3], *[None] * 7)
+    _, _, _, headers, payload, digest, begin, size = found
+    amount = len(payload) if payload is not None else headers.get("http-length")
+    return (path, kind, at, length, begin, size, None, headers.get("warc-record-id"), headers.get("warc-type"), headers.get("warc-target-uri"), headers.get("warc-refers-to"), amount, digest or None, payload if payloads else None)
 
 
 def _read(payloads: bool):
@@ -265,9 +306,12 @@ def _read(payloads: bool):
 def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
     """Every record and every quarantined gap of the archives under path, with byte offset and length.
 
-    kind is record or gap; gaps have a reason and nothing else. payloads=False
-    leaves the payload column null; lengths and digests are still those of the
-    full payload.
+    kind is record or gap; gaps have a reason and nothing else. Places are as
+    salvage() has them. payloads=False leaves the payload column null; lengths
+    and digests are still those of the full payload. The payload of a response
+    or request is the body of its HTTP message, that of a revisit null, that of
+    any other record its block. payload_digest is the header's without "sha1:",
+    or where there is none the payload's SHA-1. Empty archives have no rows.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
     kinds = {pa.string(): "string", pa.int64(): "long", pa.binary(): "binary"}

@@ -1,6 +1,9 @@
+import base64
 import gzip
-import os
+import hashlib
 import random
+import re
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -68,18 +71,104 @@ def test_wrong_digest_is_quarantined():
     assert [(f[0], f[3]) for f in warc.salvage(rec)] == [("gap", "payload digest differs")]
 
 
-def test_random_damage_never_raises_and_covers_all_bytes():
+def plain_records(data):
+    """Brute force: the record or member at the first offset that holds one, and on behind it."""
+    out, at = [], 0
+    while at < len(data):
+        if data[at : at + 3] == b"\x1f\x8b\x08":
+            d = zlib.decompressobj(31)
+            try:
+                inner = d.decompress(data[at:])
+            except zlib.error:
+                inner = b""
+            if d.eof:
+                out += plain_records(inner)
+                at = len(data) - len(d.unused_data)
+                continue
+        head, end, rest = data[at:].partition(b"\r\n\r\n")
+        lines = head.split(b"\r\n")
+        n = re.search(rb"\r\nContent-Length: *(\d+) *(\r\n|$)", head)
+        if re.fullmatch(rb"WARC/\d\.\d", lines[0]) and end and all(b":" in x for x in lines[1:]) and n and rest[int(n[1]) :][:4] == b"\r\n\r\n":
+            block = rest[: int(n[1])]
+            given = [x.partition(b"sha1:")[2].strip() for x in lines if x.startswith(b"WARC-Payload-Digest: sha1:")]
+            if not given or base64.b32encode(hashlib.sha1(block.partition(b"\r\n\r\n")[2]).digest()) == given[-1]:
+                out.append(re.search(rb"(<r\d+>)|$", head)[0].decode())
+            at += len(head) + 4 + int(n[1]) + 4
+            continue
+        at += 1
+    return out
+
+
+def signed(i, size=400):
+    body = bytes(random.Random(i).choices(b"abc \r\n", k=size))
+    block = b"HTTP/1.1 200 OK\r\n\r\n" + body
+    return b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <r%d>\r\nWARC-Payload-Digest: sha1:%s\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (i, base64.b32encode(hashlib.sha1(body).digest()), len(block), block)
+
+
+def test_random_damage_against_brute_force():
     rng = random.Random(7)
     for compress in (True, False):
-        data = b"".join(archive(compress))
+        data = b"".join(warc._member(signed(i)) if compress else signed(i) for i in range(12))
         for _ in range(60):
             hurt = bytearray(data)
             for _ in range(rng.randrange(1, 4)):
                 i = rng.randrange(len(hurt))
-                hurt[i : i + rng.randrange(0, 60)] = os.urandom(rng.randrange(0, 60))
-            found = list(warc.salvage(bytes(hurt)))
-            assert sum(f[0] == "record" for f in found) >= 12 - 9
+                hurt[i : i + rng.randrange(0, 60)] = rng.randbytes(rng.randrange(0, 60))
+            hurt = bytes(hurt)
+            found = list(warc.salvage(hurt))
+            got = [re.search(r"(<r\d+>)|$", f[3].get("warc-record-id", ""))[0] for f in found if f[0] == "record"]
+            want = plain_records(hurt)
+            assert set(want) <= set(got)
+            assert compress or got == want  # a damaged member may give its record before the damage
             assert all(a[1] + a[2] <= b[1] for a, b in zip(found, found[1:]))
+            covered = [(f[1], f[1] + f[2]) for f in found]
+            assert not b"".join(hurt[a:b] for a, b in zip([0, *(e for _, e in covered)], [*(b for b, _ in covered), len(hurt)])).strip(b"\r\n\0")
+
+
+@pytest.mark.parametrize("name", ["sha1", "sha256", "md5", "SHA-256"])
+@pytest.mark.parametrize("form", ["hex", "base32", "lower"])
+def test_digest_forms(name, form):
+    for body, valid in ((b"body", True), (b"bodx", False)):
+        raw = hashlib.new(name.lower().replace("-", ""), b"body").digest()
+        value = raw.hex() if form == "hex" else base64.b32encode(raw).decode()
+        block = b"HTTP/1.1 200 OK\r\n\r\n" + body
+        head = f"WARC/1.0\r\nWARC-Type: response\r\nWARC-Payload-Digest: {name}:{value.lower() if form == 'lower' else value}\r\nContent-Length: {len(block)}\r\n\r\n".encode()
+        assert [f[0] for f in warc.salvage(head + block + b"\r\n\r\n")] == ["record" if valid else "gap"]
+
+
+def test_other_types_have_payloads():
+    data = b"".join(b"WARC/1.0\r\nWARC-Type: %s\r\nContent-Length: 4\r\n\r\nabcd\r\n\r\n" % t for t in (b"resource", b"conversion", b"metadata", b"warcinfo"))
+    assert [(f[3]["warc-type"], f[4]) for f in warc.salvage(data)] == [("resource", b"abcd"), ("conversion", b"abcd"), ("metadata", b"abcd"), ("warcinfo", b"abcd")]
+
+
+def test_cut_member_of_many_records():
+    whole = gzip.compress(b"".join(signed(i) for i in range(50)))
+    tail = warc._member(signed(60))
+    for lost in (5, 1000):
+        found = list(warc.salvage(whole[:-lost] + tail))
+        got = [f[3]["warc-record-id"] for f in found if f[0] == "record"]
+        assert got[-1] == "<r60>" and got[:-1] == [f"<r{i}>" for i in range(len(got) - 1)] and len(got) > (45 if lost == 1000 else 49)
+        gaps = [f for f in found if f[0] == "gap"]
+        if len(got) < 51:
+            assert len(gaps) == 1 and gaps[0][1] + gaps[0][2] == len(whole) - lost and gaps[0][2] < 3000
+
+
+def test_bad_record_inside_a_member():
+    parts = [signed(i) for i in range(6)]
+    parts[2] = parts[2].replace(b"Content-Length: 4", b"Content-Length: 9")
+    found = list(warc.salvage(gzip.compress(b"".join(parts))))
+    assert [f[3]["warc-record-id"] for f in found if f[0] == "record"] == [f"<r{i}>" for i in (0, 1, 3, 4, 5)]
+    begin = len(parts[0]) + len(parts[1])
+    assert [f[4:] for f in found if f[0] == "gap"] == [(begin, len(parts[2]))]
+    places = sorted((f[-2], f[-1]) for f in found)
+    assert all(a + b == c for (a, b), (c, _) in zip(places, places[1:]))
+
+
+def test_long_url(spark, tmp_path):
+    url = "data:text/plain," + "x" * 200_000
+    warc.write(spark.createDataFrame([(1, url, "<p>")], "page_id long, url string, html string"), f"file://{tmp_path}/u")
+    got = warc.read(spark, f"file://{tmp_path}/u").collect()
+    assert [(r.kind, r.target_uri == url) for r in got] == [("record", True)]
 
 
 def test_empty(spark, tmp_path):
