@@ -40,7 +40,7 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 END = b"\r\n\r\n"
 VERSION = re.compile(rb"WARC/\d\.\d\r?\n")
 MARK = re.compile(rb"\x1f\x8b\x08|WARC/\d\.\d\r?\n")
-#: Longest inflated member that counts as valid, and bytes that are inflated at once: the end of a damaged member's good part is known to so many bytes.
+#: Longest inflated member that counts as valid, and bytes that are inflated at once.
 MAX_MEMBER, PIECE = 1 << 30, 512
 #: Fixed values of the format: types whose block is no HTTP message, and digest algorithms.
 WHOLE_TYPES, ALGORITHMS = ("warcinfo", "resource", "metadata", "conversion", "continuation"), ("sha1", "sha256", "sha512", "md5")
@@ -170,11 +170,32 @@ def _inflate(data: bytes, at: int):
             steps.append((pos, size))
             if size > MAX_MEMBER:
                 return b"", [], "member too long"
-    except zlib.error as e:
-        return b"".join(out), steps, f"bad member: {str(e)[:60]}"
+    except zlib.error as e:  # what the last bytes gave before the damage is lost with them: once more, byte by byte
+        why, pos = f"bad member: {str(e)[:60]}", steps[-1][0] if steps else at
+        d = zlib.decompressobj(31)
+        out = [d.decompress(data[at:pos])]
+        try:
+            for pos in range(pos, pos + PIECE):
+                out.append(d.decompress(data[pos : pos + 1]))
+                steps.append((pos + 1, steps[-1][1] + len(out[-1]) if steps else len(out[-1])))
+        except zlib.error:
+            pass
+        return b"".join(out), steps, why
     return b"".join(out), pos - len(d.unused_data), None
 
 
+def _reached(data: bytes, at: int, steps: list, size: int) -> int:
+    """The end of the input of the member at data[at:] that gives so many inflated bytes."""
+    first = next(i for i, (_, n) in enumerate(steps) if n >= size)
+    pos = steps[first - 1][0] if first else at
+    d = zlib.decompressobj(31)
+    n = len(d.decompress(data[at:pos]))
+    while n < size:
+        n += len(d.decompress(data[pos : pos + 1]))
+        pos += 1
+    return pos
+
+
 def _confirmed(given: str, payload: bytes):
     """Whether a digest header's value is the payload's; None where there is none, or of no known algorithm."""
     name, colon, value = given.partition(":")
@@ -242,7 +263,7 @@ def _unit(data: bytes, at: int):
         return None, at, why
     last = good[-1][2]
     found = found[: found.index(good[-1]) + 1]
-    reached = next(i for i, size in end if size >= last)
+    reached = _reached(data, at, end, last)
     return [(kind, at, reached - at, *rest, b, e - b) for kind, b, e, *rest in found], reached, why
 
 
