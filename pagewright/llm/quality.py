@@ -3,9 +3,22 @@
 Overlapping heuristic labellers vote bad (1), good (-1) or abstain (0) on every
 document; some judge junk, some toxic language. Expectation-maximisation over
 the counts of vote patterns estimates each labeller's accuracy without any true
-label, and gives each pattern a posterior. The posteriors of a bounded sample
-train a hashed linear scorer, which then judges every document by its words and
-by coarse statistics.
+label, and gives each pattern a posterior: a labeller that says bad at random is
+found to be worth nothing where others vote good on the same documents. Kinds of
+junk exclude each other, which two classes of independent votes cannot say (they
+lock on to one kind). So the bad class is a mixture: a kind for each labeller
+that never votes good, and a general one. Such a labeller has rates of its own in
+every kind and speaks by its silence too. A labeller that can vote good has one
+rate for all of the bad class, and its abstention is a missing vote. The junk
+labellers here never vote good (usual words are no witness against stutter), so
+each kind is looked for by two or more: how their votes fall together is what EM
+learns from. Labellers that vote good can be passed to em() beside them.
+The posteriors of a bounded sample train a hashed linear scorer, which then
+judges every document by its words and by coarse statistics.
+
+The toxic labellers are word lists: words that tell toxic documents among a
+bounded sample of labelled ones, dealt to three lists by hash, so that no word
+votes twice.
 
 Sizes: vote patterns are a few thousand at most, whatever the corpus. The two
 samples are bounded by SAMPLE and LABELLED documents; of these, hashes of words
@@ -25,13 +38,14 @@ from pyspark.sql import functions as F
 #: At most so many documents train the scorer, and so many labelled ones give the word lists.
 SAMPLE, LABELLED = 8_000, 20_000
 DIMENSION = 18
-#: Bounds of a vote's evidence in the label model, as log odds: of good votes, of bad ones, and of bad ones by labellers that never vote good.
-GOOD, BAD, ONE_SIDED = (-1.2, 0.0), (0.7, 6.0), (3.0, 6.0)
+#: Documents that each labeller is taken to have judged beforehand, by class and vote (bad, not bad): heuristics are rarely wrong on good ones. A few, so that many documents overrule them.
+PRIOR = ((0.05, 2.0), (0.5, 0.5))
 #: Frequent function words of English, French, German and Spanish.
 FUNCTION_WORDS = frozenset("the of and to in a is that for it as was with be by on not he his from are at this have or an they which one de la le et les des en un du une que est pour qui dans au sur par pas der die und das den von zu mit sich ist im dem nicht ein eine auf für auch es el y los del se las con su al lo como más".split())
 STRIP = "#$%&*.,;:!?|\"'()[]{}<>-_=+~^`"
-JUNK = ("symbols", "bars", "capitals", "stutter", "repeated_lines", "function_words", "shouting", "punctuation")
-TOXIC = ("list_a", "list_b", "both_lists")
+JUNK = ("symbols", "bars", "capitals", "stutter", "repeated_lines", "function_words", "shouting", "punctuation", "few_words", "bare_marks")
+TOXIC = ("list_a", "list_b", "list_c")
+LISTS = tuple(np.empty(0, np.uint64) for _ in TOXIC)
 _UPPER = bytes(range(65, 91))
 _LETTERS = _UPPER + bytes(range(97, 123))
 
@@ -63,6 +77,8 @@ def view(text: str | None) -> View:
     function = sum(map(FUNCTION_WORDS.__contains__, plain)) / n
     shouting = text.count("!!") / n
     punctuation = sum(w[-1] in ".,;:" for w in words) / n
+    variety = len(set(folded)) / n
+    marks = folded.count("") / n  # words of marks alone
     enough = len(words) >= 20
     votes = [
         1 if symbols > 0.5 else 0,
@@ -70,52 +86,60 @@ def view(text: str | None) -> View:
         1 if capitals > 0.35 and letters >= 20 else 0,
         1 if stutter > 0.15 and enough else 0,
         1 if repeated > 0.35 and len(lines) >= 4 else 0,
-        (1 if function < 0.04 else -1 if function > 0.1 else 0) if enough else 0,
+        1 if function < 0.04 and enough else 0,
         1 if shouting > 0.2 else 0,
-        (1 if punctuation < 0.01 else -1 if 0.03 < punctuation < 0.4 else 0) if enough else 0,
+        1 if punctuation < 0.01 and enough else 0,
+        1 if variety < 0.35 and 20 <= len(words) <= 2000 else 0,
+        1 if marks > 0.12 and enough else 0,
     ]
-    steps = [min(9, int(x * k)) for x, k in ((symbols, 6), (bars, 10), (capitals, 12), (stutter, 10), (repeated, 8), (function, 30), (shouting, 10), (punctuation, 30))]
+    steps = [min(9, int(x * k)) for x, k in ((symbols, 6), (bars, 10), (capitals, 12), (stutter, 10), (repeated, 8), (function, 30), (shouting, 10), (punctuation, 30), (variety, 10), (marks, 10))]
     h = xxhash.xxh64_intdigest
     own = {w for w in folded if w}
     return View(votes, steps, np.fromiter((h(w.encode("utf-8", "surrogatepass")) for w in own), dtype=np.uint64, count=len(own)))
 
 
-def _toxic_votes(words: np.ndarray, lists: tuple[np.ndarray, np.ndarray]) -> list[int]:
-    """A text with two words of a list is called toxic, one with none is not; an empty list abstains."""
-    a, b = (int(np.isin(words, x).sum()) if len(x) else -1 for x in lists)
-    one = lambda n: 0 if n < 0 else 1 if n > 1 else -1 if n == 0 else 0
-    return [one(a), one(b), 1 if a + b >= 4 else -1 if a >= 0 and b >= 0 and a + b <= 1 else 0]
+def _toxic_votes(words: np.ndarray, lists: tuple[np.ndarray, ...]) -> list[int]:
+    """A list votes bad on a text with a word of it."""
+    return [int(len(x) > 0 and bool((x[np.minimum(np.searchsorted(x, words), len(x) - 1)] == words).any())) for x in lists]
 
 
-def em(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tuple[np.ndarray, np.ndarray, float]:
-    """(posterior of bad for each pattern, P(vote | class) as [labeller, class, vote + 1], share of bad).
+def em(patterns: np.ndarray, counts: np.ndarray, rounds: int = 1000) -> tuple[np.ndarray, np.ndarray, float]:
+    """(posterior of bad for each pattern, P(bad vote | class) as [labeller, good or bad], share of bad).
 
-    Two classes; votes are independent given the class. An abstention says
-    nothing. Kinds of badness are many, and most documents have one at most: so
-    a good vote is bounded evidence (GOOD), and a bad vote is for bad at least
-    weakly (BAD), from a labeller that looks for one kind alone at least clearly
-    (ONE_SIDED). Starts from "any bad vote".
+    PRIOR apart, this is maximum likelihood. Starts from "any bad vote", which
+    also says which class is the bad one, and which kind is whose.
     """
     k = patterns.shape[1]
     if not len(patterns):
-        return np.empty(0), np.full((k, 2, 3), 1 / 3), 0.1
-    bad = np.where((patterns == 1).any(axis=1), 0.9, 0.03)
-    low, high = np.where((patterns == -1).any(axis=0)[:, None], BAD, ONE_SIDED).T
-    one_hot = np.stack([patterns == v for v in (-1, 0, 1)], axis=2).astype(float)
+        return np.empty(0), np.full((k, 2), 0.5), 0.1
+    two_sided = (patterns == -1).any(axis=0)
+    alone = np.flatnonzero(~two_sided)
+    yes = (patterns == 1).astype(float)
+    no = np.where(two_sided, patterns == -1, patterns != 1).astype(float)
+    # good, the general kind, and a kind for each labeller in ``alone``
+    first = np.concatenate([yes[:, two_sided].any(axis=1, keepdims=True), yes[:, alone]], axis=1)
+    any_bad = first.any(axis=1)
+    first = 0.9 * first / np.maximum(1, first.sum(axis=1, keepdims=True)) + 0.03 * ~any_bad[:, None] / first.shape[1]
+    like = np.concatenate([1 - first.sum(axis=1, keepdims=True), first], axis=1)
+    rate = np.empty((k, like.shape[1]))
     for _ in range(rounds):
-        share = float(np.clip((bad * counts).sum() / counts.sum(), 1e-3, 0.5))
-        table = np.empty((k, 2, 3))
-        for c, p in enumerate((1 - bad, bad)):
-            mass = np.einsum("p,pkv->kv", p * counts, one_hot) + (np.array([1.0, 1.0, 0.05]) if c == 0 else np.array([0.5, 1.0, 0.5]))
-            table[:, c] = mass / mass.sum(axis=1, keepdims=True)
-        ratio = np.log(table[:, 1]) - np.log(table[:, 0])
-        ratio = np.stack([np.clip(ratio[:, 0], *GOOD), np.zeros(k), np.clip(ratio[:, 2], low, high)], axis=1)
-        odds = np.einsum("pkv,kv->p", one_hot, ratio) + np.log(share / (1 - share))
-        new = 1 / (1 + np.exp(-np.clip(odds, -50, 50)))
-        moved, bad = np.abs(new - bad).max(), new
-        if moved < 1e-6:
+        mass = like * counts[:, None]
+        size = mass.sum(axis=0) + np.array([9.0, *np.full(like.shape[1] - 1, 1 / (like.shape[1] - 1))])
+        a, b = yes.T @ mass, no.T @ mass
+        for x in (a, b):  # what can vote good judges all of the bad class alike
+            x[two_sided, 1:] = x[two_sided, 1:].sum(axis=1, keepdims=True)
+        prior = np.array([PRIOR[0], *[PRIOR[1]] * (like.shape[1] - 1)])
+        a, b = a + prior[:, 0], b + prior[:, 1]
+        rate = a / (a + b)
+        odds = yes @ np.log(rate) + no @ np.log(1 - rate) + np.log(size / size.sum())
+        odds -= odds.max(axis=1, keepdims=True)
+        new = np.exp(odds)
+        new /= new.sum(axis=1, keepdims=True)
+        moved, like = np.abs(new - like).max(), new
+        if moved < 1e-7:
             break
-    return bad, table, share
+    kinds = size[1:] / size[1:].sum()
+    return 1 - like[:, 0], np.stack([rate[:, 0], rate[:, 1:] @ kinds], axis=1), float(size[1:].sum() / size.sum())
 
 
 def _features(v: View, toxic: list[int]) -> tuple[np.ndarray, np.ndarray]:
@@ -155,34 +179,32 @@ def _train(rows: list[tuple], target: np.ndarray, average: bool, rounds: int = 1
     return w
 
 
-def _word_lists(rows: list[tuple[np.ndarray, int]], least: int = 3, evidence: float = 16.0) -> tuple[np.ndarray, np.ndarray]:
-    """Words that tell toxic documents, from each of two folds: by the log-likelihood ratio of document frequencies."""
-    out = []
-    for fold in (0, 1):
-        part = rows[fold::2]
-        toxic = [w for w, t in part if t]
-        other = [w for w, t in part if not t]
-        if not toxic or not other:
-            out.append(np.empty(0, np.uint64))
-            continue
-        words, a = np.unique(np.concatenate(toxic), return_counts=True)
-        every, b = np.unique(np.concatenate(other), return_counts=True)
-        at = np.minimum(np.searchsorted(every, words), len(every) - 1)
-        b = np.where(every[at] == words, b[at], 0)
-        n, k = len(toxic), len(other)
-        p, q, r = (a + 0.5) / (n + 1), (b + 0.5) / (k + 1), (a + b + 0.5) / (n + k + 1)
-        term = lambda x, m, u: x * np.log(u) + (m - x) * np.log(np.maximum(1 - u, 1e-9))
-        ratio = 2 * (term(a, n, p) + term(b, k, q) - term(a, n, r) - term(b, k, r))
-        out.append(words[(a >= least) & (p > 20 * q) & (ratio > evidence)])
-    return out[0], out[1]
+def _word_lists(rows: list[tuple[np.ndarray, int]], least: int = 3, evidence: float = 16.0) -> tuple[np.ndarray, ...]:
+    """Words that tell toxic documents, by the log-likelihood ratio of document frequencies, dealt to the lists by hash."""
+    toxic = [w for w, t in rows if t]
+    other = [w for w, t in rows if not t]
+    if not toxic or not other:
+        return LISTS
+    words, a = np.unique(np.concatenate(toxic), return_counts=True)
+    every, b = np.unique(np.concatenate(other), return_counts=True)
+    if not len(words) or not len(every):
+        return LISTS
+    at = np.minimum(np.searchsorted(every, words), len(every) - 1)
+    b = np.where(every[at] == words, b[at], 0)
+    n, k = len(toxic), len(other)
+    p, q, r = (a + 0.5) / (n + 1), (b + 0.5) / (k + 1), (a + b + 0.5) / (n + k + 1)
+    term = lambda x, m, u: x * np.log(u) + (m - x) * np.log(np.maximum(1 - u, 1e-9))
+    ratio = 2 * (term(a, n, p) + term(b, k, q) - term(a, n, r) - term(b, k, r))
+    telling = words[(a >= least) & (p > 20 * q) & (ratio > evidence)]
+    return tuple(telling[telling % len(TOXIC) == i] for i in range(len(TOXIC)))
 
 
 @dataclass
 class Model:
-    lists: tuple[np.ndarray, np.ndarray]
+    lists: tuple[np.ndarray, ...]
     junk: np.ndarray
     toxic: np.ndarray
-    accuracy: dict[str, tuple[float, float]]  # of each labeller: P(bad vote | bad), P(good vote | good)
+    accuracy: dict[str, tuple[float, float]]  # of each labeller: P(bad vote | bad), P(no bad vote | good); of one that can vote good, where it votes
 
 
 VIEW = "struct<junk:string,toxic:string,words:binary,steps:array<int>>"
@@ -214,26 +236,35 @@ def _voted(lists):
     return voted
 
 
-def _sampled(docs: DataFrame, bound: int, total: int) -> DataFrame:
-    """At most bound rows, those with the smallest hashes; a filter by hash comes first, so that few rows are sorted."""
-    h = F.xxhash64("doc_id", "text")
+def _sampled(rows: DataFrame, bound: int, total: int, *by: str) -> DataFrame:
+    """At most bound rows, those with the smallest hashes of the columns ``by``; a filter by hash comes first, so that few rows are sorted. Rows that are equal in all of them are alike."""
+    h = F.xxhash64(*by)
     part = min(1.0, 2 * bound / max(1, total))
-    return docs.withColumn("h", h).filter(F.pmod("h", F.lit(1 << 20)) < int(part * (1 << 20)) + 1).orderBy(F.pmod("h", F.lit(1 << 20)), "h").limit(bound)
+    return rows.withColumn("h", h).filter(F.pmod("h", F.lit(1 << 20)) < int(part * (1 << 20)) + 1).orderBy(F.pmod("h", F.lit(1 << 20)), "h", *by[:1]).limit(bound)
+
+
+def vote_counts(docs: DataFrame, lists: tuple[np.ndarray, ...] = LISTS) -> list[tuple[str, int]]:
+    """(pattern of votes, documents) over all rows of docs; patterns are 3 ** labellers at most, and few in practice."""
+    return [(r.p, r.n) for r in docs.select(_voted(lists)(F.col("text").cast("string")).alias("p")).groupBy("p").agg(F.count("*").alias("n")).collect()]
 
 
 def fit(docs: DataFrame, labels: DataFrame | None = None, sample: int = SAMPLE, labelled: int = LABELLED) -> Model:
-    """docs: doc_id, text. labels: doc_id, toxic (1 or 0); without them, or without toxic ones, the toxic labellers abstain."""
+    """docs: doc_id, text. labels: doc_id, toxic (1 or 0); without them, or without toxic ones, the toxic labellers abstain.
+
+    Of several labels of a doc_id the highest counts, of several texts with a
+    labelled doc_id the one with the smallest hash. Nulls in labels are left
+    out. The samples are the rows with the smallest hashes, so a model depends
+    on the rows alone.
+    """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    lists = (np.empty(0, np.uint64), np.empty(0, np.uint64))
+    lists = LISTS
     if labels is not None:
-        labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("doc_id is not null and toxic is not null").dropDuplicates(["doc_id"])
-        n = labels.count()
-        part = int(min(1.0, labelled / max(1, n)) * (1 << 20)) + 1
-        few = labels.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < part).limit(labelled)  # at most ``labelled`` rows: small enough to broadcast
-        seen = docs.filter("text is not null").join(F.broadcast(few), "doc_id").select("doc_id", "toxic", _viewed(lists)("text")["words"].alias("words")).dropDuplicates(["doc_id"])
-        rows = sorted(((r.doc_id, np.frombuffer(r.words, np.uint64), r.toxic) for r in seen.toLocalIterator()), key=lambda r: xxhash.xxh64_intdigest(str(r[0])))
-        lists = _word_lists([(w, t) for _, w, t in rows])
-    counted = [(r.p, r.n) for r in docs.select(_voted(lists)("text").alias("p")).groupBy("p").agg(F.count("*").alias("n")).collect()]
+        labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+        few = _sampled(labels, labelled, labels.count(), "doc_id").select("doc_id", "toxic")  # at most ``labelled`` rows: small enough to broadcast
+        seen = docs.filter("text is not null").join(F.broadcast(few), "doc_id").groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+        seen = seen.select("doc_id", "toxic", _viewed(LISTS)("text")["words"].alias("words"))
+        lists = _word_lists([(np.frombuffer(r.words, np.uint64), r.toxic) for r in seen.toLocalIterator()])
+    counted = vote_counts(docs, lists)
     patterns = sorted(counted)
     counts = np.array([n for _, n in patterns], float)
     votes = np.array([["-0+".index(c) - 1 for c in p] for p, _ in patterns], int).reshape(-1, len(JUNK) + len(TOXIC))
@@ -243,8 +274,8 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, sample: int = SAMPLE,
         own, where = np.unique(part, axis=0, return_inverse=True)
         bad, table, _ = em(own, np.bincount(where.ravel(), weights=counts, minlength=len(own)) if len(own) else counts)
         posterior.append(dict(zip(("".join("-0+"[v + 1] for v in p) for p in own), bad)))
-        accuracy |= {x: (float(t[1, 2]), float(t[0, 0])) for x, t in zip(names, table)}
-    chosen = _sampled(docs, sample, int(counts.sum())).select("h", _viewed(lists)("text").alias("v")).select("h", "v.*")
+        accuracy |= {x: (float(t[1]), float(1 - t[0])) for x, t in zip(names, table)}
+    chosen = _sampled(docs, sample, int(counts.sum()), "doc_id", "text").select("h", _viewed(lists)("text").alias("v")).select("h", "v.*")
     rows, junk, toxic = [], [], []
     for r in sorted(chosen.toLocalIterator(), key=lambda r: (r.h, r.junk)):
         v = View([], r.steps, np.frombuffer(r.words, np.uint64))
@@ -291,6 +322,6 @@ def score(docs: DataFrame, labels: DataFrame | None = None) -> DataFrame:
 
 
 def kept(docs: DataFrame, labels: DataFrame | None = None) -> DataFrame:
-    """The rows of docs, all columns, that score() keeps."""
+    """The rows of docs, all columns, that score() keeps: nulls, empty texts and repeated rows as there. Empty table: empty result."""
     s = scorer(docs.sparkSession, fit(docs, labels))(F.col("text").cast("string"))
     return docs.filter(F.greatest(s["junk"], s["toxic"]) < 0.5)
