@@ -27,6 +27,7 @@ from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,8 +37,10 @@ MARK, UNKNOWN_PENALTY = "▁", 10.0
 SCALE = 1 << 20
 #: The gap of a lattice with one segmentation.
 NONE = 1 << 62
-#: Lattices, and words, that each Python worker keeps: so many new ones, and as many of before. About 0.3 kB each.
-CACHE = 50_000
+#: Lattices that each Python worker keeps: so many new ones, and as many of before; longer blocks are not kept. About 0.35 kB each.
+CACHE, LONGEST = 100_000, 64
+#: Texts that show whether a model's normaliser leaves characters and spaces alone.
+PROBES = (" a  b ", "\ufb01\uff21 e\u0301\u00e9", "a\u00a0b\tc")
 
 
 class Vocabulary:
@@ -53,6 +56,15 @@ class Vocabulary:
             for k in range(1, len(p)):
                 self.prefixes.setdefault(p[:k], ())
         self.prefixes.update({p: (i, round(scores[i] * SCALE)) for p, i in plain})
+        self.suffixes: dict[str, tuple] = {}
+        for p, _ in plain:
+            for k in range(1, len(p)):
+                self.suffixes.setdefault(p[k:], ())
+        self.suffixes.update({p: (i, round(scores[i] * SCALE)) for p, i in plain})
+        # for decode(): the pieces as an Arrow column, and which of them are not simply their text
+        self.texts = pa.array(pieces, pa.large_string())
+        self.odd = np.zeros(len(pieces), bool)
+        self.odd[[*special, unknown, *(byte_ids or ())]] = True
         self.low = round((min((scores[i] for _, i in plain), default=0.0) - UNKNOWN_PENALTY) * SCALE)
         crossing = any(re.search(rf"[^{MARK}]{MARK}", p) for p, _ in plain)
         lines = any("\n" in p and p != "\n" for p, _ in plain)
@@ -66,10 +78,12 @@ class Vocabulary:
 
     @classmethod
     def load(cls, path: str, zipf: bool | None = None) -> Vocabulary:
-        """path: a model file. zipf: take scores as minus ranks; by default if they are whole numbers, as merge ranks are."""
+        """path: a model file, whose normaliser must leave texts as they are but for spaces and one mark in front. zipf: take scores as minus ranks; by default if they are whole numbers, as merge ranks are."""
         import sentencepiece
 
         m = sentencepiece.SentencePieceProcessor(model_file=path)
+        if any(m.normalize(t) != normalised(t) for t in PROBES):
+            raise ValueError(f"{path}: its normaliser changes texts, which encode() does not do")
         n = m.get_piece_size()
         scores = [m.get_score(i) for i in range(n)]
         if zipf is None:
@@ -110,39 +124,83 @@ def normalised(text: str) -> str:
     return MARK + text.replace(" ", MARK) if text else ""
 
 
-def lattice(block: str, v: Vocabulary, n: int) -> list[tuple[int, list[int]]]:
-    """The n best segmentations, best first: (score * SCALE, ids)."""
-    size, get = len(block), v.prefixes.get
-    worst = (size + 1) * min(0, v.low) - 1
-    best, ends = [worst] * (size + 1), [[] for _ in range(size + 1)]
+def _forward(block: str, v: Vocabulary) -> list[int]:
+    """Viterbi: the best score of each part of the block from its front on."""
+    size, get, low = len(block), v.prefixes.get, v.low
+    best = [(size + 1) * min(0, low) - 1] * (size + 1)
     best[0] = 0
     for i in range(size):
-        here, p = best[i], get(block[i])
-        if p:
-            piece, s = p
-        else:  # no piece of one character: an unknown one
-            piece, s = -1, v.low
-        ends[i + 1].append((i, piece, s))
-        if here + s > best[i + 1]:
-            best[i + 1] = here + s
-        if p is None:
-            continue
-        for j in range(i + 2, size + 1):
+        here, j = best[i], i + 1
+        p = get(block[i])
+        s = here + (p[1] if p else low)  # no piece of one character: an unknown one
+        if s > best[j]:
+            best[j] = s
+        while p is not None and j < size:
+            j += 1
             p = get(block[i:j])
             if p:
-                piece, s = p
-                ends[j].append((i, piece, s))
-                if here + s > best[j]:
-                    best[j] = here + s
-            elif p is None:
-                break
+                s = here + p[1]
+                if s > best[j]:
+                    best[j] = s
+    return best
+
+
+def _ending(block: str, at: int, v: Vocabulary) -> list[tuple[int, int, int]]:
+    """(start, id, score) of the pieces that end at a place, the longest first; id -1: the unknown character."""
+    get, found = v.suffixes.get, []
+    p = get(block[at - 1])
+    found.append((at - 1, *p) if p else (at - 1, -1, v.low))
+    start = at - 1
+    while p is not None and start:
+        start -= 1
+        p = get(block[start:at])
+        if p:
+            found.append((start, *p))
+    found.reverse()
+    return found
+
+
+def nearest(block: str, v: Vocabulary) -> tuple[int, list[int], int]:
+    """(score * SCALE, ids, gap to the second best) of the best segmentation.
+
+    The first path of the search from the back; of the states left open on the
+    way the best one is the second best segmentation's, since its estimate is exact.
+    """
+    best, at = _forward(block, v), len(block)
+    total, g, gap, back = best[at], 0, NONE, []
+    while at:
+        follow = None
+        for state in _ending(block, at, v):
+            f = g + state[2] + best[state[0]]
+            if follow is None and f == total:
+                follow = state
+            elif total - f < gap:
+                gap = total - f
+        at, i, s = follow
+        g += s
+        back.append((at, i))
+    ids = []
+    for start, i in reversed(back):
+        if i >= 0:
+            ids.append(i)
+        else:
+            ids += v.unknown_ids(block[start])
+    return total, ids, gap
+
+
+def lattice(block: str, v: Vocabulary, n: int) -> list[tuple[int, list[int]]]:
+    """The n best segmentations, best first: (score * SCALE, ids)."""
+    best, size, ending = _forward(block, v), len(block), {}
     heap, found, count = [(-best[size], size, 0, 0, None)], [], 0  # of equal ones, the one nearest to the front first
     pop, push = heapq.heappop, heapq.heappush
     while heap and len(found) < n:
         f, at, _, g, tail = pop(heap)
         while at:  # some predecessor is as good as the state itself, so it would be popped next: go on with it
+            states = ending.get(at)
+            if states is None:
+                states = ending[at] = _ending(block, at, v)
             follow = None
-            for start, i, s in ends[at]:
+            for start, i, s in states:
                 h = g + s + best[start]
                 if follow is None and h == -f:
                     follow = start, i, s
@@ -163,87 +221,56 @@ def lattice(block: str, v: Vocabulary, n: int) -> list[tuple[int, list[int]]]:
 
 
 class Encoder:
-    """Caches lattices; n best of whole texts."""
+    """Caches the best segmentations of blocks; n best of whole texts."""
 
-    def __init__(self, v: Vocabulary, n: int, more: bool = True, size: int = CACHE):
-        self.v, self.n, self.more, self.size, self.cache, self.old = v, n, more, size, {}, {}
-        self.words: dict = {}
-        self.old_words: dict = {}
+    def __init__(self, v: Vocabulary, n: int, size: int = CACHE):
+        self.v, self.n, self.size, self.cache, self.old, self.more = v, n, size, {}, {}, {}
 
     def _block(self, block: str):
-        """(score, ids as int32 bytes, decoded text, gaps to the next best, their ids)."""
+        """(score, ids as int32 bytes, gap to the second best)."""
         entry = self.old.get(block)
         if entry is None:
-            entry = self._made(block)
-        if len(self.cache) >= self.size:
-            self.old = dict(self.cache)
-            self.cache.clear()  # in place: encode() holds on to it
-        self.cache[block] = entry
+            score, ids, gap = nearest(block, self.v)
+            entry = score, array("i", ids).tobytes(), gap
+        if len(block) <= LONGEST:
+            if len(self.cache) >= self.size:
+                self.old = dict(self.cache)
+                self.cache.clear()  # in place: encode() holds on to it
+            self.cache[block] = entry
         return entry
 
-    def _made(self, block: str):
-        """(score, ids as int32 bytes, gap to the second best, whether it decodes to block, other scores' gaps and ids)."""
-        found = lattice(block, self.v, self.n)
-        top, ids = found[0]
-        rest = [(top - s, array("i", x).tobytes()) for s, x in found[1:]] if self.more else None
-        return top, array("i", ids).tobytes(), top - found[1][0] if len(found) > 1 else NONE, self.v.decode(ids) == block, rest
-
-    def _part(self, block: str):
-        """An entry of words where the block is one with the mark in front, else of cache."""
-        if block[0] == MARK and block[1:2] not in ("", MARK):
-            return self.words.get(block[1:]) or self._word(block[1:])
-        return self.cache.get(block) or self._block(block)
-
-    def _word(self, word: str):
-        """As _made, of a word with the mark in front, from the lattices that it is cut into."""
-        entry = self.old_words.get(word)
+    def _rest(self, block: str):
+        """(gap, ids as int32 bytes) of the second best segmentation and the following ones."""
+        entry = self.more.get(block)
         if entry is None:
-            blocks = self.v.cut.findall(MARK + word)
-            if len(blocks) == 1:
-                entry = self._made(blocks[0])
-            else:
-                scores, ids, gaps, good, _ = zip(*map(self._part, blocks))
-                entry = sum(scores), b"".join(ids), min(gaps), all(good), None
-        if len(self.words) >= self.size:
-            self.old_words = dict(self.words)
-            self.words.clear()
-        self.words[word] = entry
+            (top, _), *rest = lattice(block, self.v, self.n)
+            entry = [(top - s, array("i", x).tobytes()) for s, x in rest]
+            if len(block) <= LONGEST:
+                if len(self.more) >= self.size // 8:
+                    self.more.clear()
+                self.more[block] = entry
         return entry
 
-    def digest(self, text: str | None):
-        """(score of the best, its ids, gap to the second best or None, whether the ids decode to the text)."""
-        if not text:
-            return 0, b"", None, True
-        if "  " in text or MARK in text or text[0] == " " or text[-1] == " " or not self.v.by_words:
-            entries = [self.cache.get(b) or self._block(b) for b in self.v.cut.findall(normalised(text))]
-        else:  # one mark before each word: most words have been seen
-            make, get = self._word, self.words.get
-            entries = [get(w) or make(w) for w in text.split(" ")]
-        scores, ids, gaps, good, _ = zip(*entries)
-        gap = min(gaps)
-        return sum(scores), b"".join(ids), None if gap == NONE else gap, all(good)
-
     def encode(self, text: str | None):
         """The n best as (score, ids as int32 bytes)."""
-        if self.n == 1:
-            score, ids, _, _ = self.digest(text)
-            return [(score / SCALE, ids)]
         make, get = self._block, self.cache.get
-        entries = [get(b) or make(b) for b in self.v.cut.findall(normalised(text or ""))]
+        blocks = self.v.cut.findall(normalised(text or ""))
+        entries = [get(b) or make(b) for b in blocks]
         if not entries:
             return [(0.0, b"")]
-        scores, ids, gaps, _, rest = zip(*entries)
+        scores, ids, gaps = zip(*entries)
         score = sum(scores)
         out = [(score / SCALE, b"".join(ids))]
         if self.n > 1:
             k = min(self.n - 1, len(gaps))
             near = np.argpartition(np.array(gaps), k - 1)[:k].tolist() if k < len(gaps) else range(len(gaps))
             near = sorted(near, key=lambda i: (gaps[i], i))
-            for gap, choice in _sums([[0, *(g for g, _ in rest[i])] for i in near], self.n)[1:]:
+            rest = [self._rest(blocks[i]) if gaps[i] != NONE else [] for i in near]
+            for gap, choice in _sums([[0, *(g for g, _ in r)] for r in rest], self.n)[1:]:
                 swapped = list(ids)
-                for i, c in zip(near, choice):
+                for i, r, c in zip(near, rest, choice):
                     if c:
-                        swapped[i] = rest[i][c - 1][1]
+                        swapped[i] = r[c - 1][1]
                 out.append(((score - gap) / SCALE, b"".join(swapped)))
         return out
 
@@ -266,49 +293,46 @@ def _sums(lists: list[list[int]], n: int) -> list[tuple[int, tuple[int, ...]]]:
 _LAST: list = []
 
 
-def _encoder(v: Vocabulary, n: int, more: bool, size: int) -> Encoder:
+def _encoder(v: Vocabulary, n: int, size: int) -> Encoder:
     """The encoder of this Python worker; its cache serves one task after the other."""
-    if not _LAST or _LAST[0].v is not v or (_LAST[0].n, _LAST[0].more, _LAST[0].size) != (n, more, size):
-        _LAST[:] = [Encoder(v, n, more, size)]
+    if not _LAST or _LAST[0].v is not v or (_LAST[0].n, _LAST[0].size) != (n, size):
+        _LAST[:] = [Encoder(v, n, size)]
     return _LAST[0]
 
 
-def _run(shared, n: int, digest: bool, cache: int, hashed: bool = False):
-    schema = pa.schema([("doc_id", pa.int64()), ("n_best", pa.int32()), ("n_pieces", pa.int64()), ("score", pa.float64()), ("gap", pa.float64()), ("ids_sha256", pa.string()), ("round_trip", pa.bool_())]) if digest else pa.schema([("doc_id", pa.int64()), ("rank", pa.int32()), ("score", pa.float64()), ("ids", pa.list_(pa.int32())), *[("th", pa.int64())] * hashed])
+#: Bytes of ids, or about so many of text, after which a batch is given.
+BATCH = 1 << 22
 
-    def run(it):
-        encoder = _encoder(shared.value, n, not digest, cache)
-        for batch in it:
-            rows, size = [], 0
-            hashes = [(x,) for x in batch.column("th").to_pylist()] if hashed else [()] * batch.num_rows
-            for i, text, th in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), hashes):
-                if digest:
-                    score, ids, gap, good = encoder.digest(text)
-                    rows.append((i, 1 if gap is None else n, len(ids) // 4, round(score / SCALE, 6) + 0.0, None if gap is None else round(gap / SCALE, 6) + 0.0, hashlib.sha256(ids).hexdigest(), good))
-                    continue
-                best = encoder.encode(text)
-                for rank, (score, ids) in enumerate(best):
-                    rows.append((i, rank, score, np.frombuffer(ids, np.int32), *th))
-                    size += len(ids)
-                if size > 1 << 23:
-                    yield _batch(rows, schema)
-                    rows, size = [], 0
-            if rows:
-                yield _batch(rows, schema)
-
-    return run, ", ".join(f"{f.name} {({pa.int64(): 'long', pa.int32(): 'int', pa.float64(): 'double', pa.string(): 'string', pa.bool_(): 'boolean'}).get(f.type, 'array<int>')}" for f in schema)
-
-
-def _batch(rows, schema):
-    return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
-
-
-def _on(docs: DataFrame, v: Vocabulary, n: int, digest: bool, size: int, hashed: bool = False) -> DataFrame:
+
+def _coded(shared, n: int, cache: int, it):
+    """For each few texts of the Arrow batches: (doc_ids, texts, text of each segmentation, ranks, scores, ids as an Arrow list)."""
+    encoder = _encoder(shared.value, n, cache)
+    for batch in it:
+        names, texts, owner, rank, scores, ids, size = [], [], [], [], [], [], 0
+        for i in range(batch.num_rows):
+            text = batch.column("text")[i].as_py()
+            for k, (score, x) in enumerate(encoder.encode(text)):
+                owner.append(len(names))
+                rank.append(k)
+                scores.append(score)
+                ids.append(x)
+                size += len(x)
+            names.append(batch.column("doc_id")[i].as_py())
+            texts.append(text)
+            if size > BATCH or i + 1 == batch.num_rows:
+                offsets = np.cumsum([0, *(len(x) // 4 for x in ids)])
+                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(ids), np.int32)))
+                yield names, texts, np.array(owner), rank, scores, ids, lists
+                names, texts, owner, rank, scores, ids, size = [], [], [], [], [], [], 0
+
+
+def _on(docs: DataFrame, run, schema: str) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+
+
+def _positive(n: int) -> None:
     if n < 1:
         raise ValueError("n must be at least 1")
-    run, schema = _run(docs.sparkSession.sparkContext.broadcast(v), n, digest, size, hashed)
-    text = F.col("text").cast("string")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), *[F.xxhash64(F.coalesce(text, F.lit(""))).alias("th")] * hashed).mapInArrow(run, schema)
 
 
 def encode(docs: DataFrame, v: Vocabulary, n: int = 1, cache: int = CACHE) -> DataFrame:
@@ -318,12 +342,30 @@ def encode(docs: DataFrame, v: Vocabulary, n: int = 1, cache: int = CACHE) -> Da
     scores the one found first counts, the same on every run. Null doc_ids and
     repeated rows stay; other columns are ignored. Empty table: empty result.
     """
-    return _on(docs, v, n, False, cache)
+    _positive(n)
+    shared = docs.sparkSession.sparkContext.broadcast(v)
+
+    def run(it):
+        for names, _, owner, rank, scores, _, lists in _coded(shared, n, cache, it):
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()).take(pa.array(owner)), pa.array(rank, pa.int32()), pa.array(scores, pa.float64()), lists], names=["doc_id", "rank", "score", "ids"])
+
+    return _on(docs, run, "doc_id long, rank int, score double, ids array<int>")
 
 
-def digests(docs: DataFrame, v: Vocabulary, cache: int = 8 * CACHE) -> DataFrame:
-    """doc_id, n_best (2, or 1 where a text has one segmentation), n_pieces, score, gap (to the second best, else null), ids_sha256 (little-endian int32), round_trip."""
-    return _on(docs, v, 2, True, cache)
+def decoded(ids: pa.ListArray, v: Vocabulary) -> pa.Array:
+    """The texts of lists of ids; null for null."""
+    flat = ids.flatten()
+    parts = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy())]), pa.int32()), pc.take(v.texts, flat))
+    text = pc.replace_substring(pc.binary_join(parts, pa.scalar("", pa.large_string())), MARK, " ")
+    text = pc.if_else(pc.starts_with(text, " "), pc.utf8_slice_codeunits(text, 1), text)
+    odd = v.odd[flat.to_numpy()]
+    if odd.any():  # bytes and unknown pieces: one after the other
+        ends = parts.offsets.to_numpy()
+        sums = np.concatenate([[0], np.cumsum(odd)])
+        lists = pa.array((sums[ends[1:]] > sums[ends[:-1]]))
+        plain = [v.decode(x).removeprefix(MARK).replace(MARK, " ") for x in ids.filter(lists).to_pylist()]
+        text = pc.replace_with_mask(text, lists, pa.array(plain, pa.large_string()))
+    return pc.if_else(ids.is_valid(), text, pa.scalar(None, pa.large_string()))
 
 
 def decode(rows: DataFrame, v: Vocabulary) -> DataFrame:
@@ -331,20 +373,28 @@ def decode(rows: DataFrame, v: Vocabulary) -> DataFrame:
     shared = rows.sparkSession.sparkContext.broadcast(v)
 
     @F.arrow_udf("string")
-    def decoded(ids: pa.Array) -> pa.Array:
-        one = lambda x: None if x is None else shared.value.decode(x).removeprefix(MARK).replace(MARK, " ")
-        return pa.array([one(x) for x in ids.to_pylist()], pa.string())
+    def one(ids: pa.Array) -> pa.Array:
+        return decoded(ids, shared.value).cast(pa.string())
 
-    return rows.select(*[decoded("ids").alias("text") if c == "ids" else F.col(f"`{c}`") for c in rows.columns])
+    return rows.select(*[one(F.col("ids").cast("array<int>")).alias("text") if c == "ids" else F.col(f"`{c}`") for c in rows.columns])
 
 
 def segmentations(docs: DataFrame, v: Vocabulary, n: int, cache: int = CACHE) -> DataFrame:
-    """doc_id, rank, score, n_pieces, ids_sha256 (little-endian int32), round_trip (decode() gives the text): a row for each row of encode()."""
+    """doc_id, rank, score, n_pieces, ids_sha256 (little-endian int32), round_trip (the ids decode to the text): a row for each row of encode().
 
-    @F.arrow_udf("string")
-    def digest(ids: pa.Array) -> pa.Array:
-        return pa.array([hashlib.sha256(np.asarray(x, "<i4").tobytes()).hexdigest() for x in ids.to_pylist()], pa.string())
+    Encoded, decoded and compared in one pass, so that neither ids nor texts go
+    back to the JVM; cases as encode() has them (a null text is an empty one).
+    """
+    _positive(n)
+    shared = docs.sparkSession.sparkContext.broadcast(v)
+    schema = pa.schema([("doc_id", pa.int64()), ("rank", pa.int32()), ("score", pa.float64()), ("n_pieces", pa.int64()), ("ids_sha256", pa.string()), ("round_trip", pa.bool_())])
 
-    coded = _on(docs, v, n, False, cache, True)
-    coded = coded.select("doc_id", "rank", F.round("score", 6).alias("score"), F.size("ids").cast("long").alias("n_pieces"), digest("ids").alias("ids_sha256"), "th", "ids")
-    return decode(coded, v).select("doc_id", "rank", "score", "n_pieces", "ids_sha256", (F.xxhash64("text") == F.col("th")).alias("round_trip"))
+    def run(it):
+        for names, texts, owner, rank, scores, ids, lists in _coded(shared, n, cache, it):
+            at = pa.array(owner)
+            same = pc.equal(decoded(lists, shared.value), pa.array([t or "" for t in texts], pa.large_string()).take(at))
+            digests = [hashlib.sha256(x).hexdigest() for x in ids]
+            columns = [pa.array(names, pa.int64()).take(at), rank, [round(s, 6) + 0.0 for s in scores], [len(x) // 4 for x in ids], digests, same]
+            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+
+    return _on(docs, run, "doc_id long, rank int, score double, n_pieces long, ids_sha256 string, round_trip boolean")

@@ -19,7 +19,7 @@ N_BEST = 5
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The N_BEST segmentations of each text, decoded again."""
-    return pieces.segmentations(table(spark, sf_dir, "documents"), pieces.Vocabulary.load(PIECES), N_BEST)
+    return pieces.segmentations(table(spark, sf_dir, "documents"), pieces.Vocabulary.load(PIECES), N_BEST, 250_000)
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@ import math
 import random
 import struct
 
+import pyarrow as pa
 import pytest
 import sentencepiece
 
@@ -24,7 +25,7 @@ def varint(n):
     return out + bytes([n])
 
 
-def unigram(v):
+def unigram(v, normalizer=b"\x0a\x08identity" + b"\x18\x01" + b"\x20\x00" + b"\x28\x01"):
     """The library's own unigram model with the same pieces and scores."""
     m = sentencepiece.SentencePieceProcessor(model_file=MODEL)
     kind = lambda i: 2 if m.is_unknown(i) else 3 if m.is_control(i) else 6 if m.is_byte(i) else 1
@@ -34,7 +35,6 @@ def unigram(v):
         out += b"\x0a" + varint(len(body)) + body
     # model type unigram, byte fallback
     trainer = b"\x18" + varint(1) + varint(35 << 3) + b"\x01"
-    normalizer = b"\x0a\x08identity" + b"\x18\x01" + b"\x20\x00" + b"\x28\x01"
     out += b"\x12" + varint(len(trainer)) + trainer + b"\x1a" + varint(len(normalizer)) + normalizer
     return sentencepiece.SentencePieceProcessor(model_proto=out)
 
@@ -72,8 +72,8 @@ def test_chain_is_the_lattice_of_the_whole_text(vocabulary):
         whole = P.lattice(P.normalised(text), vocabulary, 9)
         got = P.Encoder(vocabulary, 9).encode(text)
         assert [s * P.SCALE for s, _ in got] == [s for s, _ in whole] and len({ids for _, ids in got}) == len(got)
-        score, ids, gap, good = P.Encoder(vocabulary, 2, False).digest(text)
-        assert (score, score - gap) == (whole[0][0], whole[1][0]) and good and ids == got[0][1]
+        score, ids, gap = P.nearest(P.normalised(text), vocabulary)
+        assert (score, score - gap) == (whole[0][0], whole[1][0]) and ids == whole[0][1]
 
 
 def test_against_the_library(vocabulary):
@@ -95,10 +95,32 @@ def test_frames(spark, vocabulary):
     for r in back.collect():
         texts.setdefault(r.doc_id, set()).add(r.text)
     assert texts == {1: {"the heat of it"}, 2: {""}, 3: {""}, None: {"a\nb"}, 4: {rows[5][1]}, 5: {"x" * 5000}, 6: {rows[7][1]}}
-    out = P.digests(df, vocabulary).collect()
-    assert len(out) == len(rows) and all(r.round_trip and (r.gap is None or r.gap >= 0) for r in out)
-    assert [(r.n_best, r.n_pieces, r.score, r.gap) for r in out if r.doc_id in (2, 3)] == [(1, 0, 0.0, None)] * 2
-    assert P.digests(df.limit(0), vocabulary).collect() == [] and P.encode(df.limit(0), vocabulary).collect() == []
+    out = P.segmentations(df, vocabulary, 3).collect()
+    assert all(r.round_trip for r in out) and sorted(str((r.doc_id, r.rank)) for r in out) == sorted(str((r.doc_id, r.rank)) for r in coded.collect())
+    assert [(r.rank, r.n_pieces, r.score) for r in out if r.doc_id in (2, 3)] == [(0, 0, 0.0)] * 2
+    assert P.segmentations(df.limit(0), vocabulary, 2).collect() == [] and P.encode(df.limit(0), vocabulary).collect() == []
+
+
+def test_one_unbroken_text(vocabulary):
+    text = "réeuxment" * 30_000
+    encoder = P.Encoder(vocabulary, 3)
+    best = encoder.encode(text)
+    assert len(best) == 3 and not encoder.cache and not encoder.more
+    assert all(vocabulary.decode(struct.unpack(f"<{len(x) // 4}i", x)) == P.MARK + text for _, x in best)
+
+
+def test_decoded_as_decode(vocabulary):
+    rng = random.Random(2)
+    lists = [[rng.randrange(len(vocabulary.pieces)) for _ in range(rng.randrange(9))] for _ in range(300)] + [[], None, [5], vocabulary.unknown_ids("😀"), vocabulary.unknown_ids("😀")[:2]]
+    want = [None if x is None else vocabulary.decode(x).removeprefix(P.MARK).replace(P.MARK, " ") for x in lists]
+    assert P.decoded(pa.array(lists, pa.list_(pa.int32())), vocabulary).to_pylist() == want
+
+
+def test_other_normalisers_are_refused(vocabulary, tmp_path):
+    m = tmp_path / "nfkc.model"
+    m.write_bytes(unigram(vocabulary, b"\x0a\x04nfkc" + b"\x18\x01" + b"\x20\x01" + b"\x28\x01").serialized_model_proto())
+    with pytest.raises(ValueError):
+        P.Vocabulary.load(str(m))
 
 
 def test_scores_are_zipf(vocabulary):
