@@ -61,10 +61,13 @@ class Vocabulary:
             for k in range(1, len(p)):
                 self.suffixes.setdefault(p[k:], ())
         self.suffixes.update({p: (i, round(scores[i] * SCALE)) for p, i in plain})
-        # for decode(): the pieces as an Arrow column, and which of them are not simply their text
-        self.texts = pa.array(pieces, pa.large_string())
+        # for decode(): the pieces as an Arrow column, ASCII bytes too, and which of them are not simply their text
+        text = list(pieces)
+        for b, i in enumerate((byte_ids or ())[:128]):
+            text[i] = chr(b)
+        self.texts = pa.array(text, pa.large_string())
         self.odd = np.zeros(len(pieces), bool)
-        self.odd[[*special, unknown, *(byte_ids or ())]] = True
+        self.odd[[*special, unknown, *(byte_ids or ())[128:]]] = True
         self.low = round((min((scores[i] for _, i in plain), default=0.0) - UNKNOWN_PENALTY) * SCALE)
         crossing = any(re.search(rf"[^{MARK}]{MARK}", p) for p, _ in plain)
         lines = any("\n" in p and p != "\n" for p, _ in plain)
