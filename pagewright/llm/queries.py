@@ -61,15 +61,25 @@ def _op3_sql() -> str:
     quoted = lambda x: "'" + x.replace("'", "''") + "'"
     known = ", ".join(f"({quoted(v)}, {quoted(k)})" for k, v in licenses.SENTENCES.items())
     rules = ", ".join(f"({quoted(k)}, {quoted(lic)}, [{', '.join(map(quoted, ids))}])" for k, (lic, ids) in licenses.RULES.items())
+    norm = "trim(regexp_replace(lower(x), '[^a-z0-9]+', ' ', 'g'))"
+    for pattern, name in licenses.NAMES:
+        norm = f"regexp_replace({norm}, {quoted(pattern)}, {quoted(name)})"
     return rf"""
-WITH known(norm, sentence) AS (VALUES {known}), rules(rule, licence, ids) AS (VALUES {rules}),
-parts AS (SELECT doc_id, list_filter(list_transform(string_split_regex(regexp_replace(text, '([.;:!?])[ \t\r]+', '\1' || chr(10), 'g'), '\n+'), lambda s: trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g'))), lambda s: s <> '') AS s FROM documents),
-each AS (SELECT doc_id, unnest(s) AS norm, unnest(range(len(s))) AS place FROM parts),
-hit AS (SELECT doc_id, list(sentence ORDER BY place) AS ss, list(place ORDER BY place) AS ps FROM each JOIN known USING (norm) GROUP BY doc_id),
-starts AS (SELECT doc_id, ss, ps, unnest(range(1, len(ss) + 1)) AS i FROM hit),
-tried AS (SELECT doc_id, licence, rule, list_slice(ss, i, i + len(ids) - 1) AS s, list_slice(ps, i, i + len(ids) - 1) AS p, ids FROM starts, rules),
-ok AS (SELECT doc_id, licence, rule, p[1] AS first, p[-1] AS last FROM tried WHERE s = ids AND len(list_filter(range(2, len(p) + 1), lambda j: p[j] - p[j - 1] > {licenses.GAP + 1})) = 0)
-SELECT doc_id, licence, rule, first::INT AS first, last::INT AS last FROM ok a WHERE NOT EXISTS (SELECT 1 FROM ok b WHERE b.doc_id = a.doc_id AND b.first <= a.first AND b.last >= a.last AND b.last - b.first > a.last - a.first)
+WITH RECURSIVE known(norm, sentence) AS (VALUES {known}), rules(rule, licence, ids) AS (VALUES {rules}),
+parts AS (SELECT doc_id, list_filter(string_split(regexp_replace(regexp_replace(replace(text, chr(13), ''), '{licenses.BLANK}', chr(1), 'g'), '{licenses.END}', '\1' || chr(1), 'g'), chr(1)), lambda s: regexp_matches(s, '[A-Za-z0-9]')) AS s FROM documents),
+each AS (SELECT doc_id, unnest(s) AS whole, unnest(range(len(s))) AS place FROM parts),
+cut AS (SELECT doc_id, place, CASE WHEN contains(whole, chr(10)) THEN list_prepend(whole, string_split(whole, chr(10))) ELSE [whole] END AS xs FROM each),
+lines AS (SELECT doc_id, place, unnest(xs) AS x, unnest(range(len(xs))) AS part FROM cut),
+hit AS (SELECT DISTINCT doc_id, place, part, sentence FROM (SELECT doc_id, place, part, {norm} AS norm FROM lines) JOIN known USING (norm)),
+walk AS (
+  SELECT doc_id, rule, licence, ids, place AS first, place, part, 1 AS step FROM hit, rules WHERE sentence = ids[1]
+  UNION
+  SELECT w.doc_id, rule, licence, ids, first, h.place, h.part, step + 1 FROM walk w JOIN hit h ON h.doc_id = w.doc_id AND h.sentence = ids[step + 1] AND (h.place > w.place OR h.place = w.place AND h.part > w.part) AND h.place - w.place <= {licenses.GAP + 1}),
+ok AS (SELECT doc_id, rule, licence, first, place AS last FROM walk WHERE step = len(ids)),
+least AS (SELECT doc_id, licence, rule, first, min(last) AS last FROM ok GROUP BY ALL)
+SELECT doc_id, licence, rule, first::INT AS first, last::INT AS last FROM least a
+WHERE NOT EXISTS (SELECT 1 FROM least b WHERE b.doc_id = a.doc_id AND b.first <= a.first AND b.last >= a.last AND b.last - b.first > a.last - a.first)
+  AND NOT (rule = 'proprietary' AND EXISTS (SELECT 1 FROM least b WHERE b.doc_id = a.doc_id AND b.rule <> 'proprietary'))
 """
 
 
