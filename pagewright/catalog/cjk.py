@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import cjk
 from ..operators import cjk as C
+from ..fixtures import IDEOGRAPHS, LETTERS
 from .base import registry
 
 QUERIES: dict = {}
@@ -38,7 +39,16 @@ def cjk_collapse(lines):
 _TAGGED = "CASE WHEN line_no % 3 = 0 THEN concat(line, ' <BR /> ', line) WHEN line_no % 7 = 0 THEN '```' WHEN line_no % 5 = 0 THEN concat('`天 地` ', line, '<br>日') ELSE line END"
 
 
-@query(None, "cjk_lines")
+_SPACED = _TWO.replace("{x}", "regexp_replace(s, '(?i)[ \\t]*<br\\s*/?>[ \\t]*', ' ', 'g')")
+
+
+@query(
+    f"""WITH t AS (SELECT doc_id, line_no, {_TAGGED} AS line FROM cjk_lines), f AS (SELECT *, regexp_matches(line, '^\\s*(```|~~~)') AS fence FROM t),
+p AS (SELECT *, fence OR sum(fence::INT) OVER (PARTITION BY doc_id ORDER BY line_no) % 2 = 1 AS protected, string_split(line, '`') AS parts FROM f),
+c AS (SELECT *, list_transform(parts, lambda s, i: CASE WHEN i % 2 = 1 THEN {_SPACED} ELSE s END) AS marked, list_sum(list_transform(parts, lambda s, i: CASE WHEN i % 2 = 1 THEN len(regexp_extract_all(s, '(?i)<br\\s*/?>')) ELSE 0 END)) AS tags FROM p)
+SELECT doc_id, line_no, CASE WHEN protected THEN line ELSE replace(array_to_string(marked, '`'), '\x01', '') END AS out, CASE WHEN protected THEN 0 ELSE tags END::BIGINT AS br_tags, CASE WHEN protected THEN 0 ELSE length(array_to_string(marked, '`')) - length(replace(array_to_string(marked, '`'), '\x01', '')) END::BIGINT AS removed, protected FROM c""",
+    "cjk_lines",
+)
 def br_downgrade(lines):
     """Break tags, inline code and fences."""
     tagged = lines.selectExpr("doc_id", "line_no", f"{_TAGGED} as line")
@@ -79,3 +89,21 @@ SELECT doc_id, line_no, level, CASE WHEN level IS NOT NULL THEN concat(repeat('#
 def cn_heading_level(lines):
     h = lines.selectExpr("doc_id", "line_no", f"{_HEADED} as line")
     return h.select("doc_id", "line_no", cjk.heading_level(F.col("line")).alias("level"), cjk.promoted(F.col("line")).alias("out"))
+
+
+_DOCS = f"SELECT doc_id, translate(lower(text), '{LETTERS}', '{IDEOGRAPHS}') AS text FROM documents"
+_ONE = _gaps("line")
+
+
+@query(
+    f"""WITH d AS (SELECT doc_id, replace(text, concat('.', chr(10)), chr(10)) AS text FROM ({_DOCS})), l AS (SELECT doc_id, unnest(range(1, len(ls) + 1)) AS line_no, unnest(ls) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM d)),
+f AS (SELECT *, coalesce(regexp_matches(lag(line) OVER w, '[{_I}]\\s*$') AND regexp_matches(line, '^\\s*[{_I}]'), false) AS goes FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY line_no)),
+r AS (SELECT *, sum(CASE WHEN goes THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY line_no) AS run, coalesce(lead(goes) OVER (PARTITION BY doc_id ORDER BY line_no), false) AS nxt FROM f),
+j AS (SELECT doc_id, run, string_agg(CASE WHEN goes AND nxt THEN trim(line) WHEN goes THEN ltrim(line) WHEN nxt THEN rtrim(line) ELSE line END, '' ORDER BY line_no) AS line FROM r GROUP BY doc_id, run)
+SELECT doc_id, string_agg(replace({_ONE}, '\x01', ''), chr(10) ORDER BY run) AS text FROM j GROUP BY doc_id""",
+    "documents",
+)
+def clean_text(documents):
+    """Whole documents, each within its own row."""
+    text = F.translate(F.lower("text"), LETTERS, IDEOGRAPHS)
+    return documents.select("doc_id", cjk.clean_text(F.replace(text, F.lit(".\n"), F.lit("\n"))).alias("text"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import paths
 from ..operators import geometry, headers
 from ..operators import results as R
 from .base import registry
@@ -37,7 +38,7 @@ _X = "SELECT doc_id, page_no, unnest(range(1, len(ls) + 1)) AS line_no, unnest(l
 @query(
     f"""WITH x AS ({_X}), z AS (SELECT *, regexp_replace(txt, '\\s+', '', 'g') AS key, line_no = 1 OR line_no = max(line_no) OVER (PARTITION BY doc_id, page_no) AS band FROM x),
 b AS (SELECT DISTINCT doc_id, page_no, key FROM z WHERE band AND key <> ''), pg AS (SELECT doc_id, count(DISTINCT page_no) AS pages FROM b GROUP BY doc_id),
-o AS (SELECT doc_id, key FROM b JOIN pg USING (doc_id) GROUP BY doc_id, key, pages HAVING count(*) >= greatest(2, ceil(pages * 0.6))),
+o AS (SELECT doc_id, key FROM b JOIN pg USING (doc_id) GROUP BY doc_id, key, pages HAVING count(*) >= greatest(2, ceil(pages * 0.6)) UNION SELECT doc_id, key FROM b WHERE regexp_matches(key, '(?i)^(版权所有.*|[0-9]+(/[0-9]+)?|第[0-9]+页(.*共[0-9]+页)?|poweredby.+)$')),
 k AS (SELECT b.* FROM b JOIN o ON o.doc_id = b.doc_id AND o.key = b.key WHERE NOT EXISTS (SELECT 1 FROM z WHERE NOT band AND z.doc_id = b.doc_id AND z.page_no = b.page_no AND z.key = b.key)),
 m AS (SELECT z.*, k.key IS NOT NULL AS hit FROM z LEFT JOIN k ON k.doc_id = z.doc_id AND k.page_no = z.page_no AND k.key = z.key)
 SELECT doc_id, page_no, coalesce(string_agg(txt, chr(10) ORDER BY line_no) FILTER (NOT hit), '') AS body, count(*) FILTER (hit)::BIGINT AS removed FROM m GROUP BY doc_id, page_no""",
@@ -79,3 +80,27 @@ def crop_rewrite(pages):
 @query("SELECT page_no, sum(label)::DOUBLE >= 190 * 0.9 AS taken FROM boxes GROUP BY page_no", "boxes")
 def rebuild_accept(boxes):
     return boxes.groupBy("page_no").agg(F.sum("label").alias("n")).select("page_no", geometry.rebuilt_counts(F.col("n").cast("double"), F.lit(190)).alias("taken"))
+
+
+@query("SELECT doc_id, array_to_string(list_concat(CASE WHEN doc_id % 2 = 0 THEN ['w', 'v'] ELSE [] END, CASE WHEN doc_id % 3 = 0 THEN ['w', source] ELSE [] END), ',') AS warnings FROM documents", "documents")
+def warning_union(documents):
+    after = F.when(F.col("doc_id") % 3 == 0, F.array(F.lit("w"), F.col("source")))
+    return _docs(documents).join(documents.select("doc_id", after.alias("after")), "doc_id").select("doc_id", F.array_join(R.all_warnings(F.col("warnings"), F.col("after")), ",").alias("warnings"))
+
+
+@query("SELECT doc_id, printf('pages=%d failed=%d hits=%d', count(*), count(*) FILTER (status = 'failed'), coalesce(sum(CASE WHEN kind = 'purchase' THEN seq % 5 END), 0)::BIGINT) AS notes FROM ocr_events GROUP BY doc_id", "ocr_events")
+def notes_bag(events):
+    facts = events.select("doc_id", F.lit(1).alias("pages"), (F.col("status") == "failed").cast("int").alias("failed"), F.when(F.col("kind") == "purchase", F.col("seq") % 5).alias("hits"))
+    n = lambda k: F.col("notes")[k]
+    return R.notes(facts).select("doc_id", F.format_string("pages=%d failed=%d hits=%d", n("pages"), n("failed"), n("hits")).alias("notes"))
+
+
+@query("SELECT doc_id, array_to_string(ws[:50], ' ') AS hits, left(text, 20000) AS cell FROM (SELECT doc_id, text, string_split(text, ' ') AS ws FROM documents)", "documents")
+def evidence_caps(documents):
+    """The caps are the rule: evidence of a kind is the first so many items."""
+    return documents.select("doc_id", F.array_join(R.capped(F.split("text", " ", -1), "hits"), " ").alias("hits"), R.capped(F.col("text"), "cell_chars").alias("cell"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'wps,office' ELSE 'libreoffice' END AS backends FROM documents", "documents")
+def legacy_backends(documents):
+    return documents.select("doc_id", F.array_join(paths.backends(F.when(F.col("doc_id") % 2 == 0, "win32").otherwise("linux")), ",").alias("backends"))

@@ -126,18 +126,38 @@ def reading_order(boxes):
     return G.reading_order(sheet, pages).select("page_no", "box_id", "place")
 
 
-_GLYPHS = """SELECT page_no, box_id AS idx, substr('abcdefghij', CAST(1 + box_id % 10 AS INT), 1) AS ch, CAST(10 * (box_id % 5) + CASE WHEN box_id % 5 > 2 THEN 6 ELSE 0 END AS DOUBLE) AS l, CAST(10 * (box_id % 5) + 9 + CASE WHEN box_id % 5 > 2 THEN 6 ELSE 0 END AS DOUBLE) AS r, CAST(700 - 20 * ((box_id % 20) // 5) - box_id % 3 AS DOUBLE) AS b, CAST(712 - 20 * ((box_id % 20) // 5) AS DOUBLE) AS t FROM boxes"""
+_GLYPHS = """SELECT page_no, box_id AS idx, CASE WHEN box_id % 9 = 4 THEN ' ' ELSE substr('abcdefghij', CAST(1 + box_id % 10 AS INT), 1) END AS ch, CAST(10 * (box_id % 5) + CASE WHEN box_id % 5 > 2 THEN 6 ELSE 0 END AS DOUBLE) AS l, CAST(10 * (box_id % 5) + 9 + CASE WHEN box_id % 5 > 2 THEN 6 ELSE 0 END AS DOUBLE) AS r, CAST(700 - 20 * ((box_id % 20) // 5) - box_id % 3 AS DOUBLE) AS b, CAST(712 - 20 * ((box_id % 20) // 5) AS DOUBLE) AS t FROM boxes"""
+#: The same with one glyph in each ten lower and higher than its line, so that it bridges three lines.
+_TALL = f"SELECT page_no, idx, CASE WHEN ch = ' ' THEN '-' ELSE ch END AS ch, l, r, CASE WHEN idx % 10 = 7 THEN b - 20 ELSE b END AS b, CASE WHEN idx % 10 = 7 THEN t + 10 ELSE t END AS t FROM ({_GLYPHS})"
+#: Lines of glyphs g: number of the line, from 1.
+_ROWS = """n AS (SELECT *, CASE WHEN t < min(b) OVER (PARTITION BY page_no ORDER BY t DESC, l, idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 1 OR row_number() OVER (PARTITION BY page_no ORDER BY t DESC, l, idx) = 1 THEN 1 ELSE 0 END AS new FROM g),
+r AS (SELECT *, sum(new) OVER (PARTITION BY page_no ORDER BY t DESC, l, idx ROWS UNBOUNDED PRECEDING) AS row FROM n)"""
+#: Cuts of lines r, one step after the other, on their lists of heights.
+_CUTS = """hs AS (SELECT page_no, row, list(round_even(t - b, 1)) AS hs FROM r GROUP BY page_no, row),
+walk AS (
+  SELECT page_no, row, hs, []::DOUBLE[] AS cuts FROM hs
+  UNION ALL
+  SELECT page_no, row, list_filter(hs, lambda x: x < cut), list_append(cuts, cut) FROM (
+    SELECT *, d[list_position(js, list_max(js))] AS cut, list_max(js) AS jump FROM (
+      SELECT *, list_transform(range(1, len(d)), lambda i: d[i] / d[i + 1]) AS js FROM (SELECT page_no, row, hs, cuts, list_reverse_sort(list_distinct(list_filter(hs, lambda x: x > 0))) AS d FROM walk)))
+  WHERE len(hs) >= 3 AND len(d) >= 2 AND jump >= 1.5 AND len(list_filter(hs, lambda x: x >= cut)) <= 0.4 * len(hs)),
+last AS (SELECT page_no, row, arg_max(cuts, len(cuts)) AS cuts FROM walk GROUP BY page_no, row),
+parts AS (SELECT r.*, len(list_filter(cuts, lambda c: c > round_even(t - b, 1))) AS part FROM r JOIN last USING (page_no, row))"""
+_SPACED = """SELECT *, CASE WHEN ch <> ' ' AND lag(ch) OVER w <> ' ' AND l - lag(r) OVER w > greatest(2.5, 0.45 * (lag(r) OVER w - lag(l) OVER w)) THEN ' ' ELSE '' END AS sp"""
 
 
 def _glyphs(boxes):
     return _doc(boxes.sparkSession.sql(_GLYPHS.replace("//", "div").replace("FROM boxes", "FROM {b}"), b=boxes))
 
 
+def _tall(boxes):
+    return _doc(boxes.sparkSession.sql(_TALL.replace("//", "div").replace("FROM boxes", "FROM {b}"), b=boxes))
+
+
 @query(
-    f"""WITH g AS ({_GLYPHS}), n AS (SELECT *, CASE WHEN t < min(b) OVER (PARTITION BY page_no ORDER BY t DESC, l, idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 1 OR row_number() OVER (PARTITION BY page_no ORDER BY t DESC, l, idx) = 1 THEN 1 ELSE 0 END AS new FROM g),
-r AS (SELECT *, sum(new) OVER (PARTITION BY page_no ORDER BY t DESC, l, idx ROWS UNBOUNDED PRECEDING) AS row FROM n),
-s AS (SELECT *, CASE WHEN l - lag(r) OVER w > greatest(2.5, 0.45 * (lag(r) OVER w - lag(l) OVER w)) THEN ' ' ELSE '' END AS sp FROM r WINDOW w AS (PARTITION BY page_no, row ORDER BY l, idx))
-SELECT page_no, row::BIGINT AS row, string_agg(sp || ch, '' ORDER BY l, idx) AS text FROM s GROUP BY page_no, row""",
+    f"""WITH RECURSIVE g AS (SELECT * FROM ({_GLYPHS}) WHERE ch <> ' '), {_ROWS}, {_CUTS},
+o AS (SELECT *, dense_rank() OVER (PARTITION BY page_no ORDER BY row, part) AS line FROM parts), s AS ({_SPACED} FROM o WINDOW w AS (PARTITION BY page_no, line ORDER BY l, idx))
+SELECT page_no, line::BIGINT AS row, string_agg(sp || ch, '' ORDER BY l, idx) AS text FROM s GROUP BY page_no, line""",
     "boxes",
 )
 def glyph_rows(boxes):
@@ -145,9 +165,23 @@ def glyph_rows(boxes):
 
 
 @query(
-    f"""WITH g AS ({_GLYPHS}), p AS (SELECT page_no, idx, ch, l, r, CASE WHEN (b + t) / 2 >= 678 THEN 0 WHEN (b + t) / 2 >= 638 THEN 1 END AS band, CASE WHEN (l + r) / 2 <= 32 THEN 0 WHEN (l + r) / 2 <= 52 THEN 1 END AS col FROM g),
-s AS (SELECT *, CASE WHEN l - lag(r) OVER w > greatest(2.5, 0.45 * (lag(r) OVER w - lag(l) OVER w)) THEN ' ' ELSE '' END AS sp FROM p WINDOW w AS (PARTITION BY page_no, band, col ORDER BY l, idx))
-SELECT page_no, band::BIGINT AS band, col::BIGINT AS col, string_agg(sp || ch, '' ORDER BY l, idx) AS text FROM s GROUP BY page_no, band, col""",
+    f"""WITH RECURSIVE g AS ({_TALL}), {_ROWS}, {_CUTS},
+o AS (SELECT *, dense_rank() OVER (PARTITION BY page_no ORDER BY row, part) AS line FROM parts), s AS ({_SPACED} FROM o WINDOW w AS (PARTITION BY page_no, line ORDER BY l, idx))
+SELECT page_no, line::BIGINT AS row, string_agg(sp || ch, '' ORDER BY l, idx) AS text FROM s GROUP BY page_no, line""",
+    "boxes",
+)
+def glyph_rows_bridged(boxes):
+    return G.glyph_rows(_tall(boxes)).select("page_no", F.col("row").cast("long"), "text")
+
+
+@query(
+    f"""WITH side(band, blo, bhi) AS (VALUES (0, 680, 720), (1, 640, 680)), cols(col, clo, chi) AS (VALUES (0, 0, 30), (1, 30, 50)),
+g AS (SELECT *, (SELECT min(band) FROM side WHERE (b + t) / 2 BETWEEN blo - 2 AND bhi + 2) AS band, (SELECT min(col) FROM cols WHERE (l + r) / 2 BETWEEN clo - 2 AND chi + 2) AS col FROM ({_GLYPHS})),
+n AS (SELECT *, coalesce(t < min(b) OVER (PARTITION BY page_no, band, col ORDER BY t DESC, l, idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 1, true)::INT AS new FROM g),
+o AS (SELECT *, sum(new) OVER (PARTITION BY page_no, band, col ORDER BY t DESC, l, idx ROWS UNBOUNDED PRECEDING) AS row FROM n),
+s AS ({_SPACED} FROM o WINDOW w AS (PARTITION BY page_no, band, col, row ORDER BY l, idx)),
+x AS (SELECT page_no, band, col, row, trim(regexp_replace(string_agg(sp || ch, '' ORDER BY l, idx), ' +', ' ', 'g')) AS text FROM s GROUP BY page_no, band, col, row)
+SELECT page_no, band::BIGINT AS band, col::BIGINT AS col, coalesce(string_agg(text, ' ' ORDER BY row) FILTER (text <> ''), '') AS text FROM x GROUP BY page_no, band, col""",
     "boxes",
 )
 def glyph_cells(boxes):
@@ -157,10 +191,9 @@ def glyph_cells(boxes):
     return G.glyph_cells(g, side("band", [(0, 680, 720), (1, 640, 680)]), side("col", [(0, 0, 30), (1, 30, 50)])).select("page_no", F.col("band").cast("long"), F.col("col").cast("long"), "text")
 
 
-@query(None, "boxes")
+@query(f"WITH RECURSIVE g AS ({_TALL}), r AS (SELECT *, 1 AS row FROM g), {_CUTS} SELECT page_no, row::BIGINT AS row, part::INT AS part, idx FROM parts", "boxes")
 def row_split(boxes):
-    g = _glyphs(boxes).withColumn("t", F.when(F.col("idx") % 20 == 2, F.col("t") + 10).otherwise(F.col("t"))).withColumn("b", F.when(F.col("idx") % 20 == 2, F.col("b") - 20).otherwise(F.col("b"))).withColumn("row", F.lit(1).cast("long"))
-    return G.split_bridged(g).select("page_no", "row", "part", "idx")
+    return G.split_bridged(_tall(boxes).withColumn("row", F.lit(1).cast("long"))).select("page_no", "row", "part", "idx")
 
 
 @query("SELECT page_no, sum(1 + label % 3)::DOUBLE / count(*) < 1.5 OR 21 + page_no % 9 <= 1.2 * count(*) AS char_positioned FROM boxes GROUP BY page_no", "boxes")

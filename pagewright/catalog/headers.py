@@ -44,7 +44,7 @@ def hf_strip(pages):
 @query(
     f"""WITH x AS ({_X}), z AS (SELECT *, regexp_replace(txt, '\\s+', '', 'g') AS key, line_no = 1 OR line_no = max(line_no) OVER (PARTITION BY doc_id, page_no) AS band FROM x),
 b AS (SELECT DISTINCT doc_id, page_no, key FROM z WHERE band AND key <> ''), pg AS (SELECT doc_id, count(DISTINCT page_no) AS pages FROM b GROUP BY doc_id),
-o AS (SELECT doc_id, key FROM b JOIN pg USING (doc_id) GROUP BY doc_id, key, pages HAVING count(*) >= greatest(2, ceil(pages * 0.6)))
+o AS (SELECT doc_id, key FROM b JOIN pg USING (doc_id) GROUP BY doc_id, key, pages HAVING count(*) >= greatest(2, ceil(pages * 0.6)) UNION SELECT doc_id, key FROM b WHERE regexp_matches(key, '(?i)^(版权所有.*|[0-9]+(/[0-9]+)?|第[0-9]+页(.*共[0-9]+页)?|poweredby.+)$'))
 SELECT b.doc_id, b.page_no, b.key FROM b JOIN o ON o.doc_id = b.doc_id AND o.key = b.key WHERE NOT EXISTS (SELECT 1 FROM z WHERE NOT band AND z.doc_id = b.doc_id AND z.page_no = b.page_no AND z.key = b.key)""",
     "header_pages",
 )

@@ -130,3 +130,18 @@ def crop_plan(boxes):
     """Crop requests of a page: the same box again, boxes without area, more than the limit."""
     twice = boxes.select(F.col("page_no").alias("doc_id"), (F.col("box_id") % 3).alias("page_no"), F.explode(F.array(F.col("box_id"), F.col("box_id") + 1000)).alias("seq"), "x1", "y1", F.when(F.col("box_id") % 7 == 0, F.col("x1")).otherwise(F.col("x2")).alias("x2"), "y2")
     return A.crop_plan(twice)
+
+
+@query(f"SELECT w.doc_id, concat('# ', w.doc_id, chr(10), chr(10), string_agg({_BLOCK}, chr(10) || chr(10) ORDER BY page_no)) AS md FROM (SELECT w.doc_id, w.page_no, CASE WHEN p.page_no IS NULL THEN concat('<!-- page ', w.page_no, ' is missing: see the findings -->') ELSE coalesce(body, '') END AS body FROM wanted_pages w LEFT JOIN doc_pages p ON p.doc_id = w.doc_id AND p.page_no = w.page_no) AS w GROUP BY w.doc_id", "doc_pages", "wanted_pages")
+def assemble_whole(pages, wanted):
+    return A.assembled_whole(pages, wanted)
+
+
+@query("SELECT doc_id, max(page_no)::BIGINT AS pages FROM doc_pages GROUP BY doc_id", "doc_pages")
+def page_count(pages):
+    return A.page_count(pages).select("doc_id", F.col("pages").cast("long"))
+
+
+@query("SELECT doc_id, page_no FROM doc_pages WHERE page_no <= 3", "doc_pages")
+def first_pages(pages):
+    return A.first_pages(pages, 3).select("doc_id", "page_no")

@@ -17,11 +17,13 @@ def probe_pages(documents):
     return documents.select("doc_id", total.alias("total"), F.array_join(R.probe_pages(total), ",").alias("pages"))
 
 
-_C = "c AS (SELECT doc_id, count(*) FILTER (bad = 0) > 0 AS valid, coalesce(sum(tables) FILTER (bad = 0), 0)::BIGINT AS tables, coalesce(sum(formulas) FILTER (bad = 0), 0)::BIGINT AS formulas, coalesce(sum(text_regions) FILTER (bad = 0), 0)::BIGINT AS text_regions, count(*)::BIGINT AS total FROM probe WHERE page_no % 9 = doc_id % 9 GROUP BY doc_id), r AS (SELECT *, CASE WHEN tables + formulas + text_regions > 0 THEN (tables + formulas)::DOUBLE / (tables + formulas + text_regions) ELSE 0.0::DOUBLE END AS ratio FROM c)"
+_C = "c AS (SELECT doc_id, count(*) FILTER (bad = 0) > 0 AS valid, coalesce(sum(tables) FILTER (bad = 0), 0)::BIGINT AS tables, coalesce(sum(formulas) FILTER (bad = 0), 0)::BIGINT AS formulas, coalesce(sum(text_regions) FILTER (bad = 0), 0)::BIGINT AS text_regions, count(*)::BIGINT AS total FROM (SELECT *, max(page_no) OVER (PARTITION BY doc_id) AS last FROM probe) WHERE CASE WHEN last <= 3 THEN true ELSE page_no IN (1, greatest(2, last // 3), least(last, greatest(greatest(2, last // 3) + 1, 2 * last // 3))) END GROUP BY doc_id), r AS (SELECT *, CASE WHEN tables + formulas + text_regions > 0 THEN (tables + formulas)::DOUBLE / (tables + formulas + text_regions) ELSE 0.0::DOUBLE END AS ratio FROM c)"
 
 
 def _complexity(probe):
-    few = probe.filter("page_no % 9 = doc_id % 9").withColumn("error", F.when(F.col("bad") == 1, "failed"))
+    last = probe.groupBy("doc_id").agg(F.max("page_no").alias("last"))
+    wanted = last.select("doc_id", F.explode(R.probe_pages(F.col("last"))).alias("page_no"))
+    few = probe.join(wanted, ["doc_id", "page_no"], "left_semi").withColumn("error", F.when(F.col("bad") == 1, "failed"))
     return R.complexity(few).join(few.groupBy("doc_id").agg(F.count("*").alias("total")), "doc_id")
 
 
@@ -41,7 +43,7 @@ def route_decision(probe):
     return R.decide(_complexity(probe).withColumn("engine", engine), limit=4).select("doc_id", "route", "reason", "hint")
 
 
-_CAND = """SELECT doc_id, engine, left(text, CAST(CASE WHEN engine = 'primary' THEN doc_id % 40 ELSE 30 END AS INT)) AS md, CASE engine WHEN 'primary' THEN doc_id % 100 WHEN 'second' THEN (doc_id * 7) % 100 ELSE 50 END AS score, doc_id % 3 = 0 AS rebuilt FROM documents CROSS JOIN (SELECT 'primary' AS engine UNION ALL SELECT 'second' UNION ALL SELECT 'fallback') AS e"""
+_CAND = """SELECT doc_id, engine, CASE WHEN engine = 'primary' AND doc_id % 2 = 0 THEN repeat('x', CAST(doc_id % 40 AS INT)) ELSE text END AS md, CASE engine WHEN 'primary' THEN doc_id % 100 WHEN 'second' THEN (doc_id * 7) % 100 ELSE 50 END AS score, doc_id % 3 = 0 AS rebuilt FROM documents CROSS JOIN (SELECT 'primary' AS engine UNION ALL SELECT 'second' UNION ALL SELECT 'fallback') AS e"""
 
 
 @query(
@@ -54,7 +56,7 @@ def candidate_choice(documents):
     engines = F.explode(F.array(F.lit("primary"), F.lit("second"), F.lit("fallback")))
     k = documents.select("doc_id", "text", engines.alias("engine"))
     score = F.when(F.col("engine") == "primary", F.col("doc_id") % 100).when(F.col("engine") == "second", F.col("doc_id") * 7 % 100).otherwise(50)
-    k = k.select("doc_id", "engine", F.expr("left(text, cast(case when engine = 'primary' then doc_id % 40 else 30 end as int))").alias("md"), score.alias("score"), (F.col("doc_id") % 3 == 0).alias("rebuilt"))
+    k = k.select("doc_id", "engine", F.expr("case when engine = 'primary' and doc_id % 2 = 0 then repeat('x', cast(doc_id % 40 as int)) else text end").alias("md"), score.alias("score"), (F.col("doc_id") % 3 == 0).alias("rebuilt"))
     return R.candidate(k).select("doc_id", "engine", "score")
 
 
@@ -77,3 +79,20 @@ def eta_adaptive(events):
 @query("SELECT event_id, greatest(1, least(1 + event_id % 16, 4, greatest(1, floor((event_id % 64) * 268435456.0::DOUBLE / 2684354560)::BIGINT)))::BIGINT AS workers FROM events WHERE event_id % 64 > 0", "events")
 def worker_default(events):
     return events.filter("event_id % 64 > 0").select("event_id", R.workers(1 + F.col("event_id") % 16, F.col("event_id") % 64 * 268435456).cast("long").alias("workers"))
+
+
+@query(
+    """WITH d AS (SELECT doc_id, 'k' || doc_id % 50 AS key, CASE doc_id % 10 WHEN 0 THEN 'vision' WHEN 1 THEN 'local' ELSE 'auto' END AS engine, doc_id % 7 AS total, doc_id % 4 <> 0 AS ok FROM documents),
+p AS (SELECT 'k' || i AS key, i % 6 <> 0 AS valid, (i % 10) / 10.0::DOUBLE AS ratio, i % 3 = 0 AS cached FROM range(0, 45) t(i)),
+b AS (SELECT d.*, coalesce(p.cached AND p.valid, false) AS hit, p.valid AS pv, coalesce(p.ratio, 0.0::DOUBLE) AS r FROM d LEFT JOIN p USING (key)),
+c AS (SELECT *, CASE WHEN hit THEN 'cache' WHEN pv IS NOT NULL THEN 'fresh' ELSE 'none' END AS probe, coalesce(pv, false) AS valid FROM b),
+e AS (SELECT *, CASE WHEN engine <> 'auto' THEN engine WHEN valid AND (total > 4 OR r > 0.4) THEN 'vision' ELSE 'local' END AS route FROM c)
+SELECT doc_id, probe, route, CASE WHEN route = 'vision' AND NOT ok AND engine = 'auto' THEN 'local' ELSE route END AS used, route = 'vision' AND NOT ok AND engine = 'auto' AS fell_back FROM e""",
+    "documents",
+)
+def scan_route(documents):
+    """Probe results of 45 keys, a third of them cached."""
+    c = F.col("doc_id")
+    docs = documents.select("doc_id", F.concat(F.lit("k"), (c % 50).cast("string")).alias("key"), F.when(c % 10 == 0, "vision").when(c % 10 == 1, "local").otherwise("auto").alias("engine"), (c % 7).alias("total"), (c % 4 != 0).alias("vision_ok"))
+    keys = documents.sparkSession.range(0, 45).select(F.concat(F.lit("k"), F.col("id").cast("string")).alias("key"), (F.col("id") % 6 != 0).alias("valid"), ((F.col("id") % 10) / 10.0).alias("ratio"), F.lit(2.0).alias("seconds"), (F.col("id") % 3 == 0).alias("cached"))
+    return R.scanned(docs, keys.filter("cached"), keys, limit=4).select("doc_id", "probe", "route", "used", "fell_back")

@@ -130,3 +130,8 @@ def table_source_choice(probe):
 def separators(rows):
     x = F.expr("CASE line_no % 4 WHEN 2 THEN line WHEN 3 THEN '| :-: |' WHEN 0 THEN '|--|' ELSE '|  |  |' END")
     return rows.select("doc_id", "line_no", T.sep_quality(x).alias("quality"), T.sep_cross(x).alias("cross"), T.sep_metric(x).alias("metric"), T.sep_scan(x).alias("scan"))
+
+
+@query("SELECT doc_id, count(*)::BIGINT AS rows, max(len(c))::BIGINT AS cols, max(list_max(list_transform(c, lambda x: length(trim(x)))))::BIGINT AS longest FROM (SELECT doc_id, string_split(line[2:-2], '|') AS c FROM table_rows WHERE NOT contains(line, '---')) GROUP BY doc_id", "table_rows")
+def cell_stats(lines):
+    return O.cell_stats(lines)

@@ -12,18 +12,18 @@ from pyspark.sql import DataFrame, SparkSession
 #: One fixed ideograph for each letter a to z.
 IDEOGRAPHS = "天地人日月山水火土金木石田目口手足心力大小上下中文字"
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
-EXTENSIONS = ("pdf", "docx", "xlsx", "doc", "xls", "gif", "docm", "epub", "md", "txt", "xyz", "")
+EXTENSIONS = ("pdf", "docx", "xlsx", "doc", "xls", "gif", "docm", "epub", "md", "txt", "xyz", "", "log", "text")
 
 #: Tables in braces; ``//`` is whole division.
 VIEWS = {
     "doc_pages": """
-SELECT conv_id AS doc_id, turn + 1 AS page_no, turn // 2 AS batch,
-       CASE WHEN (conv_id + turn) % 11 = 0 THEN substr(text, 1, 6) ELSE text END AS body
-FROM {conversations} WHERE (conv_id * 7 + turn) % 13 <> 0""",
+SELECT conv_id AS doc_id, turn + 1 AS page_no, turn // 2 AS batch, text AS body FROM {conversations}
+UNION ALL SELECT conv_id, 101, 50, CASE WHEN conv_id % 2 = 0 THEN 'tiny' ELSE text END FROM {conversations} WHERE turn = 0 AND conv_id % 3 <> 0""",
     "wanted_pages": """
-SELECT conv_id AS doc_id, turn + 1 AS page_no, turn // 2 AS batch FROM {conversations}""",
+SELECT conv_id AS doc_id, turn + 1 AS page_no, turn // 2 AS batch FROM {conversations}
+UNION ALL SELECT conv_id, 101, 50 FROM {conversations} WHERE turn = 0""",
     "header_pages": """
-SELECT doc_id, page_no, CASE WHEN page_no % 5 <> 0 THEN concat('HDR ', CAST(doc_id AS STRING), chr(10), body) ELSE body END AS body FROM {doc_pages}""",
+SELECT doc_id, page_no, CASE WHEN page_no % 5 <> 0 THEN concat('HDR ', CAST(doc_id AS STRING), chr(10), body) ELSE body END || CASE WHEN page_no % 3 = 1 THEN concat(chr(10), CAST(page_no AS STRING), ' / 13') ELSE '' END AS body FROM {doc_pages}""",
     "table_rows": """
 SELECT doc_id, CAST(line_no AS BIGINT) AS line_no, line FROM (
   SELECT l_orderkey AS doc_id,
@@ -55,7 +55,7 @@ FROM {ocr_events} GROUP BY doc_id, page_no""",
 SELECT doc_id, concat('in/d', CAST(doc_id % 7 AS STRING), '/', CASE WHEN doc_id % 17 = 0 THEN '.' ELSE '' END, 'File', CAST(doc_id AS STRING),
          CASE WHEN ext = '' THEN '' ELSE concat('.', CASE WHEN doc_id % 2 = 0 THEN upper(ext) ELSE ext END) END) AS path,
        n_chars AS size
-FROM (SELECT doc_id, n_chars, CASE doc_id % 12 """
+FROM (SELECT doc_id, n_chars, CASE doc_id % 14 """
     + " ".join(f"WHEN {i} THEN '{e}'" for i, e in enumerate(EXTENSIONS))
     + """ END AS ext FROM {documents}) AS m""",
     "doc_lines": "",

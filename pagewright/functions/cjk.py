@@ -71,6 +71,43 @@ def goes_on(before: Column, line: Column) -> Column:
     return plain & trim(before).rlike(f"[{IDEOGRAPH}]\\z") & trim(line).rlike(f"\\A[{IDEOGRAPH}]")
 
 
+def _bound(value: Column, use) -> Column:
+    """use(value) with value worked out once, also where use() has lambdas that refer to it."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def _whole(text: Column) -> Column:
+    """One stretch of text without fences: wrapped lines joined, then each line collapsed."""
+
+    def joined(lines):
+        on = F.transform(lines, lambda x, i: F.when(i == 0, False).otherwise(F.coalesce(goes_on(F.get(lines, i - 1), x), F.lit(False))))
+        return _bound(on, lambda on: F.array_join(F.transform(lines, lambda x, i: part(on, x, i)), ""))
+
+    def part(on, x, i):
+        here, then = F.get(on, i), F.coalesce(F.get(on, i + 1), F.lit(False))
+        cut = F.when(here & then, trim(x)).when(here, F.regexp_replace(x, r"(?U)\A\s+", "")).when(then, F.regexp_replace(x, r"(?U)\s+\z", "")).otherwise(x)
+        return F.concat(F.when(here | (i == 0), F.lit("")).otherwise(F.lit("\n")), cut)
+
+    return F.array_join(F.transform(F.split(_bound(F.split(text, "\n", -1), joined), "\n", -1), collapse), "\n")
+
+
+def clean_text(text: Column) -> Column:
+    """A whole text as join_wrapped() and collapse_spaces() leave it, within its own row: nothing is shuffled. Fenced stretches stay."""
+    fence = r"(?m)^[^\S\n]*(?:```|~~~)[^\n]*$"
+    parts = F.arrays_zip(F.split(text, fence, -1).alias("part"), F.regexp_extract_all(text, F.lit(fence), F.lit(0)).alias("fence"))
+    return F.array_join(F.transform(parts, lambda x, i: F.concat(F.when(i % 2 == 0, _whole(x["part"])).otherwise(x["part"]), F.coalesce(x["fence"], F.lit("")))), "")
+
+
+def promoted_text(text: Column) -> Column:
+    """A whole text with its numbered headings promoted."""
+    return F.array_join(F.transform(F.split(text, "\n", -1), promoted), "\n")
+
+
+def promotions(text: Column) -> Column:
+    """How many lines of a text are promoted."""
+    return F.size(F.filter(F.split(text, "\n", -1), lambda x: heading_level(x).isNotNull()))
+
+
 def without_emphasis(line: Column) -> Column:
     """Nested emphasis marks at both ends go."""
     return F.regexp_replace(trim(line), r"(?U)\A(?:\*+\s*)+|(?:\s*\*+)+\z", "")

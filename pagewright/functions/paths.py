@@ -52,7 +52,7 @@ def hint(path: Column) -> Column:
 
 
 def convertible(path: Column) -> Column:
-    return extension(path).isin(*MODERN, *LEGACY, "text", "log")
+    return extension(path).isin(*MODERN, *PLAIN, *LEGACY)
 
 
 def skip_reason(path: Column) -> Column:
@@ -64,6 +64,11 @@ def skip_reason(path: Column) -> Column:
     return F.when(name.startswith("."), "hidden").when(artifact, "artifact").when(e == "", "no extension").when(e.isin(*PLAIN), "markdown already").when(~convertible(path), F.concat(F.lit("unsupported extension ."), e))
 
 
+def backends(platform: Column) -> Column:
+    """Programs that can bring a legacy file up to date, in the order in which they are tried."""
+    return F.when(F.lower(platform).isin("win32", "windows"), F.array(F.lit("wps"), F.lit("office"))).otherwise(F.array(F.lit("libreoffice")))
+
+
 def output_path(path: Column, folder: str = "out") -> Column:
     return F.concat(F.lit(folder + "/"), F.regexp_replace(base_name(path), r"(?<=.)\.[^.]*\z", ""), F.lit(".md"))
 

@@ -20,6 +20,28 @@ def assembled(pages: DataFrame, title: bool = True) -> DataFrame:
     return md.withColumn("md", F.concat(F.lit("# "), F.col("doc_id").cast("string"), F.lit("\n\n"), F.col("md"))) if title else md
 
 
+#: Stands for a page that no output has.
+MISSING = "<!-- page %d is missing: see the findings -->"
+
+
+def assembled_whole(pages: DataFrame, wanted: DataFrame, title: bool = True) -> DataFrame:
+    """As assembled(), over the wanted pages (doc_id, page_no): a missing one has a block that says so."""
+    have = pages.select("doc_id", "page_no", F.col("body"), F.lit(True).alias("here"))
+    every = wanted.select("doc_id", "page_no").distinct().join(have, ["doc_id", "page_no"], "left")
+    body = F.when(F.col("here"), F.col("body")).otherwise(F.format_string(MISSING, "page_no"))
+    return assembled(every.select("doc_id", "page_no", body.alias("body")), title)
+
+
+def page_count(pages: DataFrame) -> DataFrame:
+    """doc_id, pages: the highest page number of each document."""
+    return pages.groupBy("doc_id").agg(F.max("page_no").alias("pages"))
+
+
+def first_pages(pages: DataFrame, n: int) -> DataFrame:
+    """The first n pages of each document; 0: all."""
+    return pages.filter(F.col("page_no") <= n) if n > 0 else pages
+
+
 def parsed(docs: DataFrame, md: str = "md") -> DataFrame:
     """doc_id, page_no, body: page blocks read from a text; of several with one number the last counts."""
     each = docs.select("doc_id", F.posexplode(P.blocks(F.col(md))).alias("seq", "b"))

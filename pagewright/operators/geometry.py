@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -96,40 +95,50 @@ def within(points: DataFrame, boxes: DataFrame, first: bool = False) -> DataFram
     return points.select(*P, "point_id").join(hit.groupBy(*P, "point_id").agg(F.min("box_id").alias("box_id")), [*P, "point_id"], "left")
 
 
-def glyph_rows(glyphs: DataFrame) -> DataFrame:
-    """doc_id, page_no, row (from 1), text: glyphs (ch, l, r, b, t, idx) in lines, wide gaps as spaces.
+def _in_lines(glyphs: DataFrame, *keys: str, name: str = "row") -> DataFrame:
+    """glyphs with the number (from 1) of their line in each group of keys.
 
-    From the top down a row ends where a glyph lies wholly below all before it
-    (by one point): an earlier row's lowest edge is above, so the lowest edge of
-    the page so far is that of the row.
+    From the top down a line ends where a glyph lies wholly below all before it
+    (by one point): an earlier line's lowest edge is above, so the lowest edge of
+    the group so far is that of the line.
     """
-    w = Window.partitionBy(*P).orderBy(F.desc("t"), "l", "idx")
+    w = Window.partitionBy(*P, *keys).orderBy(F.desc("t"), "l", "idx")
     low = F.min("b").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    rows = glyphs.withColumn("new", F.coalesce(F.col("t") < low - 1, F.lit(True))).withColumn("row", F.sum(F.col("new").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return _written(rows, "row")
+    return glyphs.withColumn("_new", F.coalesce(F.col("t") < low - 1, F.lit(True))).withColumn(name, F.sum(F.col("_new").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+
+
+def glyph_rows(glyphs: DataFrame) -> DataFrame:
+    """doc_id, page_no, row (from 1), text: glyphs (ch, l, r, b, t, idx) in lines, wide gaps as spaces; blank glyphs do not count. Lines that few tall glyphs bridge are taken apart, the tall ones first."""
+    rows = split_bridged(_in_lines(glyphs.filter(~F.col("ch").rlike(r"(?U)\A\s*\z")), name="line"), "line")
+    order = Window.partitionBy(*P).orderBy("line", "part")
+    return _written(rows.withColumn("row", F.dense_rank().over(order)), "row")
 
 
-def _written(glyphs: DataFrame, key: str) -> DataFrame:
-    """Text of each row or cell: real spaces count (one for several), else gaps do; in cells bars are escaped."""
-    r = Window.partitionBy(*P, key).orderBy("l", "idx")
+def _written(glyphs: DataFrame, *keys: str) -> DataFrame:
+    """Text of each line: real spaces count (one for several), else gaps do."""
+    r = Window.partitionBy(*P, *keys).orderBy("l", "idx")
     gap = F.col("l") - F.lag("r").over(r)
     wide = gap > F.greatest(F.lit(2.5), 0.45 * (F.lag("r").over(r) - F.lag("l").over(r)))
     spaced = (F.col("ch") != " ") & (F.lag("ch").over(r) != " ") & wide
     parts = glyphs.withColumn("part", F.concat(F.when(F.coalesce(spaced, F.lit(False)), F.lit(" ")).otherwise(F.lit("")), "ch"))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l", "idx", "part"))), lambda x: x["part"]), "")
-    return parts.groupBy(*P, key).agg(F.trim(F.regexp_replace(text, " +", " ")).alias("text"))
+    return parts.groupBy(*P, *keys).agg(F.trim(F.regexp_replace(text, " +", " ")).alias("text"))
 
 
 def glyph_cells(glyphs: DataFrame, bands: DataFrame, cols: DataFrame, tolerance: float = 2.0) -> DataFrame:
-    """doc_id, page_no, band, col, text and, with null band or col, glyphs that no cell takes. bands: band, lo, hi; cols: col, lo, hi. The first that fits counts."""
+    """doc_id, page_no, band, col, text and, with null band or col, glyphs that no cell takes. bands: band, lo, hi; cols: col, lo, hi. The first that fits counts. A cell's lines follow each other with a space; bars are escaped."""
 
     def place(g, sides, name, at):
         hit = g.join(sides.select(*P, name, F.col("lo").alias("_lo"), F.col("hi").alias("_hi")), list(P)).filter((at >= F.col("_lo") - tolerance) & (at <= F.col("_hi") + tolerance))
         return g.join(hit.groupBy(*P, "idx").agg(F.min(name).alias(name)), [*P, "idx"], "left")
 
     g = place(place(glyphs, bands, "band", (F.col("b") + F.col("t")) / 2), cols, "col", (F.col("l") + F.col("r")) / 2)
-    cell = g.withColumn("cell", F.struct("band", "col"))
-    return _written(cell, "cell").select(*P, "cell.band", "cell.col", F.replace("text", F.lit("|"), F.lit("\\|")).alias("text"))
+    lines = _written(_in_lines(g, "band", "col", name="row"), "band", "col", "row").filter("text <> ''")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row", "text"))), lambda x: x["text"]), " ")
+    cells = g.select(*P, "band", "col").distinct()
+    found = lines.groupBy(*P, "band", "col").agg(F.replace(text, F.lit("|"), F.lit("\\|")).alias("text"))
+    same = [cells[k].eqNullSafe(found[k]) for k in (*P, "band", "col")]
+    return cells.join(found, same[0] & same[1] & same[2] & same[3], "left").select(*[cells[k] for k in (*P, "band", "col")], F.coalesce(found["text"], F.lit("")).alias("text"))
 
 
 def char_pages(boxes: DataFrame) -> DataFrame:
@@ -143,45 +152,38 @@ def rebuilt_counts(rebuilt: Column, true_chars: Column) -> Column:
     return rebuilt >= true_chars * 0.9
 
 
-def split_bridged(glyphs: DataFrame) -> DataFrame:
-    """glyphs (row, ...) with rows that few tall glyphs bridge taken apart, again and again; one row is the unit."""
-    names = glyphs.columns
-    low = pa.schema([("doc_id", pa.int64()), ("page_no", pa.int64()), ("row", pa.int64()), ("part", pa.int32()), ("idx", pa.int64())])
-
-    def parts(g):
-        heights = sorted({round(t - b, 3) for _, b, t in g})
-        best = max(((hi / lo, lo) for lo, hi in zip(heights, heights[1:]) if lo > 0), default=(0, 0))
-        if best[0] < 1.5:
-            return [g]
-        tall = [x for x in g if x[2] - x[1] > best[1] + 1e-9]
-        rest = [x for x in g if x[2] - x[1] <= best[1] + 1e-9]
-        if not rest or len(tall) > 0.4 * len(g):
-            return [g]
-        rows, lowest = [], None
-        for x in sorted(rest, key=lambda x: -x[2]):
-            if lowest is None or x[2] < lowest - 1:
-                rows.append([])
-                lowest = x[1]
-            rows[-1].append(x)
-            lowest = min(lowest, x[1])
-        if len(rows) < 2:
-            return [g]
-        for x in tall:
-            y = (x[1] + x[2]) / 2
-            min(rows, key=lambda r: abs(sum((a[1] + a[2]) / 2 for a in r) / len(r) - y)).append(x)
-        return [p for r in rows for p in (parts(r) if len(r) < len(g) else [r])]
-
-    def run(it):
-        for batch in it:
-            out = []
-            for d, p, row, g in zip(*(batch.column(k).to_pylist() for k in ("doc_id", "page_no", "row", "g"))):
-                for n, part in enumerate(parts([(x["idx"], x["b"], x["t"]) for x in g])):
-                    out += [(d, p, row, n, i) for i, _, _ in part]
-            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], type=f.type) for i, f in enumerate(low)], schema=low)
-
-    grouped = glyphs.groupBy(*P, F.col("row").cast("long").alias("row")).agg(F.collect_list(F.struct(F.col("idx").cast("long").alias("idx"), F.col("b").cast("double").alias("b"), F.col("t").cast("double").alias("t"))).alias("g"))
-    part = grouped.select(*P, "row", "g").mapInArrow(run, "doc_id long, page_no long, row long, part int, idx long")
-    return glyphs.join(part, [*P, "row", "idx"]).select(*names, "part")
+#: A jump of heights that parts tall glyphs from others, and how many of a line may be tall.
+JUMP, MINORITY = 1.5, 0.4
+
+
+def split_bridged(glyphs: DataFrame, row: str = "row") -> DataFrame:
+    """glyphs (row, idx, b, t, ...) with part: lines that few tall glyphs bridge come in parts, the tallest glyphs first.
+
+    Heights count to one decimal. The widest jump between neighbouring heights
+    parts a line of three glyphs or more, if the taller ones are a minority; the
+    others are looked at again. Each time the heights below the cut remain, so
+    a line's cuts are found on its sorted heights alone: no glyph is joined.
+    """
+    h = F.bround(F.col("t") - F.col("b"), 1)
+    state = "struct<left:array<double>,cuts:array<double>,go:boolean>"
+
+    def cut(acc, _):
+        left = acc["left"]
+        each = F.array_sort(F.array_distinct(F.filter(left, lambda x: x > 0)))
+        n = F.size(each)
+        jumps = F.transform(F.sequence(F.lit(2), F.greatest(n, F.lit(2))), lambda i: F.struct((F.get(each, i - 1) / F.get(each, i - 2)).alias("jump"), F.get(each, i - 1).alias("at")))
+        best = F.array_max(jumps)  # of equal jumps the tallest
+        tall = F.size(F.filter(left, lambda x: x >= best["at"]))
+        go = acc["go"] & (F.size(left) >= 3) & (n >= 2) & (best["jump"] >= JUMP) & (tall <= MINORITY * F.size(left))
+        split = F.struct(F.filter(left, lambda x: x < best["at"]).alias("left"), F.array_append(acc["cuts"], best["at"]).alias("cuts"), F.lit(True).alias("go"))
+        return F.when(F.coalesce(go, F.lit(False)), split).otherwise(F.struct(left.alias("left"), acc["cuts"].alias("cuts"), F.lit(False).alias("go"))).cast(state)
+
+    of_row = glyphs.withColumn("_h", h.cast("double")).groupBy(*P, row).agg(F.collect_list("_h").alias("left"))
+    steps = F.array_distinct("left")
+    first = F.struct(F.col("left"), F.array().cast("array<double>").alias("cuts"), F.lit(True).alias("go")).cast(state)
+    cuts = of_row.select(*P, row, F.aggregate(steps, first, cut, lambda a: a["cuts"]).alias("_cuts"))
+    part = F.size(F.filter("_cuts", lambda c: c > h))
+    return glyphs.join(cuts, [*P, row]).withColumn("part", part).drop("_cuts")
 
 
 def grid(cells: DataFrame, shape: DataFrame) -> DataFrame:

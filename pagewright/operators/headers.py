@@ -14,6 +14,8 @@ from ..functions.text import without_space
 MARGIN, REPEAT = 0.12, 0.6
 #: Lines that count as running ones wherever they stand in the margin.
 RUNNING = r"(?i)\A\s*(?:(?:copyright|©|\(c\)).*|\d{1,4}(?:\s*/\s*\d{1,4})?|page\s+\d+(?:\s+of\s+\d+)?|powered by .*)\s*\z"
+#: The same for a line's text without white space, as page tools give it.
+RUNNING_KEY = r"(?i)\A(?:\u7248\u6743\u6240\u6709.*|\d+(?:/\d+)?|\u7b2c\d+\u9875(?:.*\u5171\d+\u9875)?|poweredby.+)\z"
 BULLET, NUMBER = r"\A\s*[•●○▪■◦·\-*]\s*\z", r"\A\s*(\d{1,3}[.、)]?)\s*\z"
 
 
@@ -45,12 +47,13 @@ def stripped(lines: DataFrame, keys: DataFrame, margin: float = MARGIN) -> DataF
 
 
 def by_page(lines: DataFrame, edge: int = 1) -> DataFrame:
-    """doc_id, page_no, key: a first or last line that many pages share (distinct pages count), where the page's body does not have it too. lines: doc_id, page_no, line_no, txt."""
+    """doc_id, page_no, key: a first or last line that many pages share (distinct pages count) or that looks like a running line, where the page's body does not have it too. lines: doc_id, page_no, line_no, txt."""
     last = F.max("line_no").over(Window.partitionBy("doc_id", "page_no"))
     z = lines.withColumn("key", without_space(F.col("txt"))).withColumn("band", (F.col("line_no") <= edge) | (F.col("line_no") > last - edge)).filter("key <> ''")
     band = z.filter("band").select("doc_id", "page_no", "key").distinct()
     pages = band.groupBy("doc_id").agg(F.countDistinct("page_no").alias("pages"))
     often = band.groupBy("doc_id", "key").agg(F.count("*").alias("n")).join(pages, "doc_id").filter(F.col("n") >= threshold(F.col("pages"))).select("doc_id", "key")
+    often = often.unionByName(band.filter(F.col("key").rlike(RUNNING_KEY)).select("doc_id", "key")).distinct()
     body = z.filter("not band").select("doc_id", "page_no", "key").distinct()
     return band.join(often, ["doc_id", "key"]).join(body, ["doc_id", "page_no", "key"], "left_anti").select("doc_id", "page_no", "key")
 

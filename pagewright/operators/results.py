@@ -66,3 +66,25 @@ def rewrite_crops(pages: DataFrame, crops: DataFrame) -> DataFrame:
     each = crops.groupBy("doc_id", "page_no").agg(F.array_sort(F.collect_list(F.struct("ref", F.coalesce(F.concat(F.lit("![]("), F.col("file"), F.lit(")")), F.lit("<!-- crop rejected -->")).alias("new")))).alias("c"))
     out = F.aggregate(F.coalesce("c", F.array().cast("array<struct<ref:string,new:string>>")), F.col("body"), lambda acc, x: F.replace(acc, x["ref"], x["new"]))
     return pages.join(each, ["doc_id", "page_no"], "left").select("doc_id", "page_no", out.alias("body"))
+
+
+#: How much evidence of a kind is kept.
+CAPS = {"hits": 50, "bad_pages": 8, "patterns": 12, "links": 128, "objects": 4096, "page_chars": 50_000, "cell_chars": 20_000, "crops": 200}
+
+
+def capped(evidence: Column, kind: str) -> Column:
+    """The first items of an array, or characters of a text, that count as evidence of a kind."""
+    return F.left(evidence, F.lit(CAPS[kind])) if kind.endswith("_chars") else F.slice(evidence, 1, CAPS[kind])
+
+
+def all_warnings(before: Column, after: Column) -> Column:
+    """Both lists one after the other; a missing one is empty, and nothing is merged."""
+    empty = F.array().cast("array<string>")
+    return F.concat(F.coalesce(before, empty), F.coalesce(after, empty))
+
+
+def notes(facts: DataFrame) -> DataFrame:
+    """doc_id, notes: a map with the sum of each further column of facts, nulls as 0."""
+    names = [c for c in facts.columns if c != "doc_id"]
+    sums = facts.groupBy("doc_id").agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in names])
+    return sums.select("doc_id", F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*names)).alias("notes"))

@@ -34,6 +34,23 @@ def decide(docs: DataFrame, limit: int = 0, ratio: float = RATIO) -> DataFrame:
     return docs.withColumn("route", route).withColumn("reason", reason).withColumn("hint", (reason == "simple") & (r >= ratio * NEAR))
 
 
+def scanned(docs: DataFrame, cache: DataFrame, probed: DataFrame, limit: int = 0, ratio: float = RATIO) -> DataFrame:
+    """docs (doc_id, key, engine, total, vision_ok) with probe (cache, fresh or none), valid, ratio, route, reason, hint, used, fell_back.
+
+    cache and probed: key, valid, ratio, seconds. A valid cached result of the
+    same key counts and costs no time; else a fresh one. A route to vision that
+    does not work out falls back to the local engine, unless vision was asked for.
+    """
+    one = lambda x, p: x.groupBy("key").agg(*[F.max_by(c, F.struct("valid", "ratio")).alias(f"{p}_{c}") for c in ("valid", "ratio", "seconds")])
+    both = docs.join(one(cache, "c"), "key", "left").join(one(probed, "p"), "key", "left")
+    hit = F.coalesce("c_valid", F.lit(False))
+    both = both.withColumn("probe", F.when(hit, "cache").when(F.col("p_valid").isNotNull(), "fresh").otherwise("none"))
+    both = both.withColumn("valid", hit | F.coalesce("p_valid", F.lit(False))).withColumn("ratio", F.coalesce(F.when(hit, F.col("c_ratio")).otherwise(F.col("p_ratio")), F.lit(0.0))).withColumn("probe_seconds", F.when(F.col("probe") == "fresh", F.col("p_seconds")).otherwise(0.0))
+    out = decide(both, limit, ratio).drop("c_valid", "c_ratio", "c_seconds", "p_valid", "p_ratio", "p_seconds")
+    fell = (F.col("route") == "vision") & ~F.coalesce("vision_ok", F.lit(False)) & (F.col("reason") != "asked for")
+    return out.withColumn("fell_back", fell).withColumn("used", F.when(fell, "local").otherwise(F.col("route")))
+
+
 def candidate(found: DataFrame, least: int = 20, slack: int = 10) -> DataFrame:
     """One candidate a document. found: doc_id, engine (primary, second, fallback), md, score, rebuilt.
 

@@ -92,6 +92,36 @@ def continued(lines: DataFrame) -> DataFrame:
     return out.select("doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy(at)).cast("long").alias("line_no"), "line")
 
 
+def noted(before: DataFrame, after: DataFrame, note: str = "<!-- this page continues the table above (merged) -->") -> DataFrame:
+    """lines of continued() with a note in pages that lost all they had to it. before, after: doc_id, line_no, line.
+
+    A page stands between its anchors; comments are no content. A page that was
+    empty before gets no note. line_no counts anew.
+    """
+    opens, closes = r"\A<!--PAGE:(\d+)-->\z", r"\A<!--/PAGE:\d+-->\z"
+
+    def paged(lines):
+        t = trim(F.col("line"))
+        no = F.when(t.rlike(opens), F.regexp_extract(t, opens, 1)).when(F.lag(t).over(by()).rlike(closes), F.lit(""))
+        full = (t != "") & ~t.rlike(r"(?s)\A<!--.*-->\z")
+        return lines.withColumn("page", F.coalesce(F.last(no, ignorenulls=True).over(so_far()), F.lit(""))).withColumn("full", full).withColumn("edge", t.rlike(opens) | t.rlike(closes))
+
+    filled = lambda x: x.groupBy("doc_id", "page").agg(F.max("full").alias("full")).filter("page <> '' and full").select("doc_id", "page")
+    now = paged(after)
+    emptied = filled(paged(before)).join(filled(now), ["doc_id", "page"], "left_anti").withColumn("emptied", F.lit(True))
+    marked = now.join(emptied, ["doc_id", "page"], "left").filter("emptied is null or edge")
+    add = F.when(F.col("emptied") & trim(F.col("line")).rlike(opens), F.array("line", F.lit(""), F.lit(note), F.lit(""))).otherwise(F.array("line"))
+    each = marked.select("doc_id", "line_no", F.posexplode(add).alias("i", "line"))
+    return each.select("doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("line_no", "i")).cast("long").alias("line_no"), "line")
+
+
+def cell_stats(lines: DataFrame) -> DataFrame:
+    """doc_id, rows, cols, longest: rows of tables (separators apart), most columns, and the longest cell's characters."""
+    body = lines.filter(tables.table_line(F.col("line")) & ~tables.sep_scan(F.col("line"))).withColumn("c", tables.cells(F.col("line")))
+    longest = F.array_max(F.transform("c", lambda x: F.length(x)))
+    return body.groupBy("doc_id").agg(F.count("*").alias("rows"), F.max(F.size("c")).cast("long").alias("cols"), F.max(longest).cast("long").alias("longest"))
+
+
 def last_block(lines: Column) -> Column:
     """struct<sep, end, head, last, first, next_head> of the last table of a page's lines, positions from 1; null without a separator."""
     at = F.transform(lines, lambda x, i: F.when(tables.sep_cross(x), i + 1))

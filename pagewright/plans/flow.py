@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import cjk, paths
-from ..operators import cjk as cjk_lines
 from ..operators import tables
 from ..operators.lines import exploded, joined
 
@@ -29,11 +28,10 @@ class Flow:
         """Broken lines joined, then break tags and injected spaces taken out."""
         if not self.collapse:
             return self
-        whole = cjk_lines.join_wrapped(exploded(self.docs)).select("doc_id", "line_no", "line")
-        return self._with_text(cjk_lines.collapse_spaces(whole))
+        return Flow(self.docs.withColumn("text", cjk.clean_text(F.col("text"))), self.collapse)
 
     def promote(self) -> Flow:
-        return self._with_text(exploded(self.docs).withColumn("out", cjk.promoted(F.col("line"))))
+        return Flow(self.docs.withColumn("text", cjk.promoted_text(F.col("text"))), self.collapse)
 
     def trim(self) -> Flow:
         return self._with_text(tables.without_noise(exploded(self.docs)).withColumn("out", F.col("line")))

@@ -72,11 +72,23 @@ def upsert(events: DataFrame, table: str, checkpoint: str):
 
 
 def cleaned(events: DataFrame) -> DataFrame:
-    """Events whose md is without injected spaces, line by line; stateless, so it stands before the state."""
+    """Events whose md has wrapped lines joined and injected spaces taken out, fenced stretches left; stateless, so it stands before the state."""
     from ..functions import cjk
 
-    clean = F.array_join(F.transform(F.split("md", "\n", -1), lambda x: cjk.collapse(x)), "\n")
-    return events.withColumn("md", clean)
+    return events.withColumn("md", cjk.clean_text(F.col("md")))
 
 
-__all__ = ["EVENT", "KEY", "cleaned", "formula_failures", "latest", "lost", "outcome", "progress", "read_stream", "upsert", "usable_state", "worklist"]
+def upsert_files(events: DataFrame, folder: str, checkpoint: str):
+    """A running query that adds each batch's events to ``folder`` as Parquet; state(folder) is their latest().
+
+    Nothing goes through the driver, and Spark's file sink writes each batch once, whatever is lost on the way.
+    """
+    return events.writeStream.outputMode("append").format("parquet").option("path", folder).option("checkpointLocation", checkpoint).start()
+
+
+def state(spark: SparkSession, folder: str, schema) -> DataFrame:
+    """The latest event of each page of a folder that upsert_files() writes."""
+    return latest(spark.read.schema(schema).parquet(folder))
+
+
+__all__ = ["EVENT", "KEY", "cleaned", "formula_failures", "latest", "lost", "outcome", "progress", "read_stream", "state", "upsert_files", "upsert", "usable_state", "worklist"]

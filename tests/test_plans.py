@@ -8,7 +8,7 @@ from pagewright import catalog
 
 SF = "/root/testdata/sf0.001"
 #: Queries whose rule runs in Python, by Arrow batches.
-PYTHON = {"decode_text", "html_text", "html_links", "html_headings", "inline_links", "heading_rebuild", "row_split"}
+PYTHON = {"decode_text", "html_text", "html_links", "html_headings", "inline_links", "heading_rebuild"}
 
 
 def plan(df):

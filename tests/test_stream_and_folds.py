@@ -35,22 +35,43 @@ def test_stream_is_the_table(spark, tmp_path, seed):
     assert got == set(last.values())
 
 
+STARTS = ("|", ">", "<!--", "`", "~~~")
+
+
+def standing_alone(text):
+    """Whether a line is layout of its own: it is never joined with another."""
+    t = text.strip()
+    word, _, rest = t.partition(" ")
+    if t.startswith(STARTS) or t == ":" or (len(t) >= 3 and set(t) <= set("-=*_")):
+        return True
+    if not text.lstrip()[len(word) :][:1].isspace():
+        return False
+    if word in ("-", "*", "+") or (set(word) == {"#"} and len(word) <= 6):
+        return True
+    if word[:-1].isdigit() and word[-1] in ".)":
+        return not rest.strip() or text.endswith(tuple("。！？；：!?;"))  # else a long clause that goes on
+    return False
+
+
 def plain_join(lines):
-    struct = re.compile(r"^\s*(\||#{1,6}\s|[-*+]\s|\d+[.)]\s|[-=*_]{3,}\s*$|>|<!--|`|~~~|:\s*$)")
-
-    def shaped(t):
-        clause = re.match(r"^\s*(\d+[.)]\s)(?!.*[。！？；：!?;]$)", t) and not re.match(r"^\s*\d+[.)]\s*$", t)
-        return bool(struct.match(t)) and not clause
-
-    out, inside = [], False
-    for line in lines:
-        inside ^= bool(re.match(r"^\s*(```|~~~)", line))
-        prev = out[-1] if out else None
-        anchor = lambda t: re.fullmatch(r"<!--/?PAGE:\d+-->", t.strip())
-        if prev is not None and not inside and not shaped(line) and not shaped(prev) and not anchor(line) and not anchor(prev) and re.search(f"[{IDEO}]$", prev.rstrip()) and re.match(f"[{IDEO}]", line.lstrip()):
-            out[-1] = prev.rstrip() + line.lstrip()
-        else:
-            out.append(line)
+    """Each pair of neighbours is judged by itself; runs of pairs that go on are one line."""
+    fences = [x.strip().startswith(("```", "~~~")) for x in lines]
+    ideograph = lambda c: "\u3400" <= c <= "\u4dbf" or "\u4e00" <= c <= "\u9fff" or "\uf900" <= c <= "\ufaff"
+
+    def one(i):
+        a, b = lines[i].strip(), lines[i + 1].strip()
+        if sum(fences[: i + 2]) % 2 or not a or not b or standing_alone(lines[i]) or standing_alone(lines[i + 1]):
+            return False
+        return ideograph(a[-1]) and ideograph(b[0])
+
+    pairs = [one(i) for i in range(len(lines) - 1)] + [False]
+    out, run = [], []
+    for i, goes in enumerate(pairs):
+        run.append(i)
+        if not goes:
+            texts = [lines[k] for k in run]
+            out.append(texts[0] if len(run) == 1 else texts[0].rstrip() + "".join(t.strip() for t in texts[1:-1]) + texts[-1].lstrip())
+            run = []
     return out
 
 
@@ -63,6 +84,13 @@ def test_join_wrapped_is_the_fold(spark):
     for r in cjk.join_wrapped(lines).orderBy("line_no").collect():
         got.setdefault(r.doc_id, []).append(r.line)
     assert got == {d: plain_join(t.split("\n")) for d, t in docs}
+    # the same within one row
+    joined = spark.createDataFrame([(d, n, x) for d, ls in got.items() for n, x in enumerate(ls)], "doc_id long, line_no long, line string")
+    want = {}
+    for r in cjk.collapse_spaces(joined).orderBy("line_no").collect():
+        want.setdefault(r.doc_id, []).append(r.out)
+    whole = spark.createDataFrame([*docs, (1000, None), (1001, "")], "doc_id long, text string").select("doc_id", K.clean_text(F.col("text")).alias("text")).collect()
+    assert {r.doc_id: r.text for r in whole} == {d: "\n".join(x) for d, x in want.items()} | {1000: None, 1001: ""}
 
 
 def test_collapse_twice_changes_nothing(spark):
@@ -123,6 +151,51 @@ def test_crop_plan_remembers_only_what_it_accepted(spark):
     assert out == ["accepted", "repeated", "degenerate", "accepted", "accepted", "accepted", "over limit", "over limit", "over limit", "repeated"]
 
 
+def test_flow_cleans_without_a_shuffle(spark):
+    docs = spark.createDataFrame([(1, "天地\n人日")], "doc_id long, text string")
+    plan = Flow(docs).clean().promote().docs._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Python" not in plan
+
+
+def test_stream_into_files(spark, tmp_path):
+    rows = [{"seq": s, "event": "page", "no": s % 4, "stats": {"status": "done"}, "duration": 1.0, "md": "天 地\n人"} for s in range(12)]
+    (tmp_path / "in").mkdir()
+    for i in range(0, 12, 4):
+        (tmp_path / "in" / f"f{i}.json").write_text("\n".join(map(json.dumps, rows[i : i + 4])))
+    shaped = events.cleaned(events.read_stream(spark, str(tmp_path / "in"), 1)).select(F.lit(1).alias("doc_id"), F.col("no").alias("page_no"), "seq", F.col("stats.status").alias("status"), "duration", "md")
+    for _ in range(2):  # a second start adds nothing
+        q = events.upsert_files(shaped, str(tmp_path / "out"), str(tmp_path / "ckpt"))
+        q.processAllAvailable()
+        q.stop()
+    got = events.state(spark, str(tmp_path / "out"), shaped.schema).collect()
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 12
+    assert sorted((r.page_no, r.seq) for r in got) == [(0, 8), (1, 9), (2, 10), (3, 11)]
+    assert {r.md for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {"天地人"}
+
+
+def test_note_in_emptied_pages(spark):
+    text = ["<!--PAGE:01-->", "", "| a | b |", "|---|---|", "| 1 | 2 |", "", "<!--/PAGE:01-->", "", "<!--PAGE:02-->", "", "| a | b |", "|---|---|", "| 3 | 4 |", "", "<!--/PAGE:02-->", "", "<!--PAGE:03-->", "<!--/PAGE:03-->"]
+    before = spark.createDataFrame([(1, i, x) for i, x in enumerate(text, 1)], "doc_id long, line_no long, line string")
+    out = [r.line for r in tables.noted(before, tables.continued(before), "<!-- note -->").orderBy("line_no").collect()]
+    assert [x for x in out if x] == ["<!--PAGE:01-->", "| a | b |", "|---|---|", "| 1 | 2 |", "| 3 | 4 |", "<!--/PAGE:01-->", "<!--PAGE:02-->", "<!-- note -->", "<!--/PAGE:02-->", "<!--PAGE:03-->", "<!--/PAGE:03-->"]
+
+
+def test_tall_glyphs_come_first(spark):
+    glyph = lambda i, ch, l, b, t: (1, 1, i, ch, float(l), float(l) + 9, float(b), float(t))
+    rows = [glyph(0, "T", 0, 0, 40), glyph(1, "a", 10, 10, 20), glyph(2, "b", 20, 10, 20), glyph(3, "c", 30, 10, 20), glyph(4, " ", 40, 10, 60)]
+    g = spark.createDataFrame(rows, "doc_id long, page_no long, idx long, ch string, l double, r double, b double, t double")
+    assert [r.text for r in geometry.glyph_rows(g).orderBy("row").collect()] == ["T", "abc"]
+    two = spark.createDataFrame([glyph(0, "a", 0, 30, 40), glyph(1, "b", 10, 30, 40), glyph(2, "c", 0, 10, 20), glyph(3, "d", 10, 10, 20), glyph(4, "|", 200, 0, 10)], g.schema)
+    side = lambda name, hi: spark.createDataFrame([(1, 1, 0, 0.0, float(hi))], f"doc_id long, page_no long, {name} int, lo double, hi double")
+    assert {(r.band, r.col): r.text for r in geometry.glyph_cells(two, side("band", 50), side("col", 50)).collect()} == {(0, 0): "ab cd", (0, None): "\\|"}
+
+
+def test_running_lines_on_one_page(spark):
+    pages = [(1, 1, ["Title", "text", "1/13"]), (1, 2, ["other", "body 2", "版权所有 2020"]), (1, 3, ["7", "7", "third"]), (1, 4, ["x", "y", "第 4 页 共 9 页"])]
+    lines = spark.createDataFrame([(d, p, i, x) for d, p, ls in pages for i, x in enumerate(ls, 1)], "doc_id long, page_no long, line_no long, txt string")
+    assert sorted((r.page_no, r.key) for r in headers.by_page(lines).collect()) == [(1, "1/13"), (2, "版权所有2020"), (4, "第4页共9页")]
+
+
 def test_flow(spark):
     docs = spark.createDataFrame([(1, "天地\n人日\n一、标题\n| a | b |\n|---|---|\n| 0 | 0.00 |\n| x | 1 |", "k"), (2, None, "n")], "doc_id long, text string, more string")
     out = {r.doc_id: r for r in Flow(docs).clean().promote().trim().assess().collect()}
