@@ -24,10 +24,10 @@ import re
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SEED
+from .common import SEED, dropped, written
 
 #: Fixed values of the rule: at most 20 % substitutions in 13 tokens, and the masks that find them all.
 WINDOW, LEAST = 13, 11
@@ -135,29 +135,30 @@ def overlap(h: np.ndarray, item: np.ndarray, diagonal: int) -> tuple[int, int, i
     return int((equal * inside).sum()), int(at[0] + diagonal), int(at[-1] + diagonal + 1)
 
 
-def matcher(benchmark: DataFrame, block_chars: int = BLOCK_CHARS):
-    """A function from a text column to its hits: array<struct<item_id, n_matched, start, stop>>, token positions."""
-    spark = benchmark.sparkSession
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text is not null")
-    chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = chars // block_chars + 1
-    parts = []
-    for b in range(blocks):
-        rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).dropDuplicates().collect()  # within block_chars, give or take the hash
-        parts.append(spark.sparkContext.broadcast(Table(sorted((-1 if r.item_id is None else r.item_id, r.text) for r in rows))))
+def _finder(table):
+    @F.arrow_udf(HIT)
+    def find(t: pa.Array) -> pa.Array:
+        return pa.array([table.value.hits(x) for x in t.to_pylist()], HIT_TYPE)
 
-    def hits(text: Column) -> Column:
-        def one(table):
-            @F.arrow_udf(HIT)
-            def find(t: pa.Array) -> pa.Array:
-                return pa.array([table.value.hits(x) for x in t.to_pylist()], HIT_TYPE)
+    return find
 
-            return find(text)
 
-        found = [one(t) for t in parts]
-        return found[0] if len(found) == 1 else F.concat(*found)
+def _blocks(benchmark: DataFrame, block_chars: int):
+    """The test items in blocks of about block_chars characters, one after the other: (how many there are, function from texts to hits).
 
-    return hits
+    A block's broadcast is given up before the next one is made, so that driver
+    and workers hold one block at a time, however many items there are.
+    """
+    spark = benchmark.sparkSession
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text is not null")
+    chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
+    n = chars // block_chars + 1
+    for b in range(n):
+        rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b).dropDuplicates().collect()  # within block_chars, give or take the hash
+        table = spark.sparkContext.broadcast(Table(sorted((-1 if r.item_id is None else r.item_id, r.text) for r in rows)))
+        yield n, _finder(table)
+        if n > 1:
+            table.unpersist()
 
 
 def links(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -167,14 +168,30 @@ def links(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK_CHARS)
     first of these in order of position. Null or empty texts and items, and
     items of fewer than LEAST_TOKENS tokens, overlap with nothing. Null doc_id
     stays null; a null item_id is -1. Repeated documents are repeated in the
-    result; items that share an id are one item. Other columns are ignored.
-    Empty tables: empty result.
+    result; items that share an id are one item, if they are in one block. Other
+    columns are ignored. Empty tables: empty result.
     """
-    hits = matcher(benchmark, block_chars)
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), hits(F.col("text").cast("string")).alias("hits"))
-    return found.select("doc_id", F.explode("hits").alias("h")).select("doc_id", "h.item_id", "h.n_matched", "h.start", "h.stop")
+    out = None
+    for n, find in _blocks(benchmark, block_chars):
+        found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), find(F.col("text").cast("string")).alias("hits"))
+        found = found.select("doc_id", F.explode("hits").alias("h")).select("doc_id", "h.item_id", "h.n_matched", "h.start", "h.stop")
+        found = written(found, "hits") if n > 1 else found
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """The rows of docs, all columns, whose text overlaps with no item."""
-    return docs.filter(F.size(matcher(benchmark, block_chars)(F.col("text").cast("string"))) == 0)
+    """The rows of docs, all columns, whose text overlaps with no item.
+
+    Null and empty texts overlap with nothing and stay; so do repeated rows.
+    Empty tables: docs as they are.
+    """
+    before = None
+    for n, find in _blocks(benchmark, block_chars):
+        docs = docs.filter(F.size(find(F.col("text").cast("string"))) == 0)
+        if n > 1:
+            docs = written(docs, "clean")
+            if before is not None:
+                dropped(before)
+            before = docs
+    return docs

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import salted_join, written
 
 #: Alphabets by script, given names by script and gender, titles by gender.
 LOWER = {"latin": "abcdefghijklmnopqrstuvwxyz", "cyrillic": "абвгдежзиклмнопрстуфхцчшэюя", "greek": "αβγδεζηθικλμνξοπρστυφχψω"}
@@ -48,6 +48,8 @@ ENTITY = "|".join(p.replace(r"\1", r"\k<sep>").replace("([ -]?)", "(?<sep>[ -]?)
 #: A quick look whether a text can hold an entity at all.
 HINT = r"[@0-9]|(?i:token|secret|passw|api.?key)|\b(?:" + "|".join(t.replace(".", r"\.") for k in "fmu" for t in TITLES[k]) + r") \p{Lu}"
 ATTEMPTS = 64
+#: A person's mention.
+TITLED = r"\A(?:" + "|".join(t.replace(".", r"\.") for k in "fmu" for t in TITLES[k]) + r") \p{Lu}"
 #: What is dropped from numbers that are written in several ways.
 PLAIN = r"[\s().-]"
 
@@ -241,10 +243,34 @@ def _exceptions(found: DataFrame, key: str) -> DataFrame | None:
     raise RuntimeError("no surrogates left for some entities")
 
 
+def _again(pairs: Column) -> Column:
+    """Of the persons (old, new) of a text: struct<find, to>, a pattern of their names without title and a map to the surrogates' names. Of several surrogates of a name the first counts."""
+    def forms(m):
+        a, b = F.slice(F.split(m["old"], " "), 2, 2), F.slice(F.split(m["new"], " "), 2, 2)
+        last = F.struct(F.element_at(a, -1).alias("key"), F.element_at(b, -1).alias("value"))
+        both = F.struct(F.array_join(a, " ").alias("key"), F.array_join(b, " ").alias("value"))
+        return F.array(both, last)
+
+    def made(every):
+        keys = F.array_distinct(F.transform(every, lambda e: e["key"]))
+        first = F.transform(keys, lambda k: F.struct(k.alias("key"), F.get(F.filter(every, lambda e: e["key"] == k), 0)["value"].alias("value")))
+        ordered = F.array_sort(F.transform(keys, lambda k: F.struct((-F.length(k)).alias("n"), k.alias("k"))))  # whole names first
+        find = F.concat(F.lit(r"(?<![\p{L}\p{N}'’-])(?:"), F.array_join(F.transform(ordered, lambda o: o["k"]), "|"), F.lit(r")(?![\p{L}\p{N}]|['’-]\p{L})"))
+        return F.struct(find.alias("find"), F.map_from_entries(first).alias("to"))
+
+    return _let(F.flatten(F.transform(pairs, forms)), made)
+
+
+def _renamed(part: Column, again: Column) -> Column:
+    rest, names = F.split(part, again["find"], -1), F.regexp_extract_all(part, again["find"], F.lit(0))
+    return F.array_join(F.flatten(F.zip_with(rest, names, lambda p, n: F.array(p, F.coalesce(F.try_element_at(again["to"], n), F.lit(""))))), "")
+
+
 def replace(docs: DataFrame, key: str) -> DataFrame:
     """docs with its text column's entities replaced; all columns and rows stay, the order of columns too.
 
-    Null and empty texts stay as they are; so do rows with other nulls, repeated
+    A person named behind a title is the same person where the surname, or both
+    names, stand in the text without it. Null and empty texts stay as they are; so do rows with other nulls, repeated
     rows and columns of any name. Two rows with equal texts get equal results.
     Empty table: empty result.
     """
@@ -253,21 +279,29 @@ def replace(docs: DataFrame, key: str) -> DataFrame:
     found = mentions.groupBy("kind", canonical(F.col("kind"), F.col("mention")).alias("canon")).agg(F.min("mention").alias("mention"))
     again = _exceptions(written(found, "entities"), key)
     names = docs.columns
-    own = f"__{'_'.join(sorted(names))}"[:60] + "_moved"  # a name that docs doesn't have
+    own = "_moved"
+    while own.lower() in {n.lower() for n in names}:
+        own += "_"
     if again is None:
         moved = docs.withColumn(own, F.lit(None).cast("map<string,int>"))
     else:
         each = docs.select(F.md5(text).alias("digest"), F.explode(F.array_distinct(entities(text))).alias("mention")).distinct().withColumn("kind", kind(F.col("mention")))
-        each = each.withColumn("canon", canonical(F.col("kind"), F.col("mention"))).join(again, ["kind", "canon"])
-        maps = each.groupBy("digest").agg(F.map_from_entries(F.collect_list(F.struct("mention", "attempt"))).alias(own)).withColumnRenamed("digest", own + "_digest")
-        moved = docs.join(maps.hint("merge"), F.md5(text) == F.col(own + "_digest"), "left").drop(own + "_digest")
+        each = each.withColumn("canon", canonical(F.col("kind"), F.col("mention")))
+        each = salted_join(each, again, ["kind", "canon"], "digest")
+        maps = each.groupBy("digest").agg(F.map_from_entries(F.collect_list(F.struct("mention", "attempt"))).alias(own)).withColumnRenamed("digest", own + "#")
+        moved = docs.join(maps.hint("merge"), F.md5(text) == F.col(own + "#"), "left").drop(own + "#")
 
     def new(e):
         attempt = F.coalesce(F.try_element_at(F.col(own), e), F.lit(0))
         return _let(F.struct(kind(e).alias("k"), attempt.alias("a")), lambda x: surrogate(key, x["k"], e, x["a"]))
 
-    parts = F.split(text, ENTITY, -1)
-    whole = F.array_join(F.flatten(F.zip_with(parts, F.transform(entities(text), new), lambda p, e: F.array(p, F.coalesce(e, F.lit(""))))), "")
+    def put(x):
+        pairs = F.filter(F.arrays_zip(x["old"], x["new"]), lambda m: m["old"].rlike(TITLED))
+        named = F.when(F.size(pairs) > 0, _let(pairs, lambda m: _let(_again(m), lambda a: F.transform(x["parts"], lambda p: _renamed(p, a))))).otherwise(x["parts"])
+        return F.array_join(F.flatten(F.zip_with(named, x["new"], lambda p, e: F.array(p, F.coalesce(e, F.lit(""))))), "")
+
+    mentions = entities(text)
+    whole = _let(F.struct(F.split(text, ENTITY, -1).alias("parts"), mentions.alias("old"), F.transform(mentions, new).alias("new")), put)
     out = F.when(text.rlike(HINT) & text.rlike(ENTITY), whole).otherwise(text)
     return moved.select(*[out.alias("text") if c == "text" else F.col(f"`{c}`") for c in names])
 

@@ -17,7 +17,7 @@ TEXTS = {
 }
 
 
-def run(spark, rows, key="k", schema="doc_id long, text string, mention string, kind string, digest int"):
+def run(spark, rows, key="k", schema="doc_id long, text string, mention string, kind string, _moved int"):
     df = spark.createDataFrame([(i, t, "x", "y", 3) for i, t in rows], schema)
     out = pii.replace(df, key)
     assert out.columns == df.columns
@@ -56,6 +56,38 @@ def test_formats_and_coreference(spark):
     assert run(spark, TEXTS.items()) == out != run(spark, TEXTS.items(), "other")
 
 
+def plain_renamed(before, after):
+    """Names of titled persons, put to the text that is left once the titled mentions are marked."""
+    titles = "|".join(re.escape(t) for k in "fmu" for t in pii.TITLES[k])
+    person = rf"\b(?:{titles}) [A-Z]\w+(?: [A-Z]\w+)?"
+    old, new = re.findall(person, before), re.findall(person, after)
+    to = {}
+    for a, b in zip(old, new):
+        a, b = a.split(" ")[1:], b.split(" ")[1:]
+        to.setdefault(" ".join(a), " ".join(b))
+        to.setdefault(a[-1], b[-1])
+    rest = re.split(person, before)
+    find = r"(?<![\w'-])(?:" + "|".join(sorted(to, key=lambda k: (-len(k), k))) + r")(?!\w|['-][^\W\d])"
+    rest = [re.sub(find, lambda m: to[m[0]], p) for p in rest]
+    return "".join(p + n for p, n in zip(rest, [*new, ""]))
+
+
+def test_names_without_title_take_the_same_surrogate(spark):
+    texts = [
+        "Mr. John Smith said. Smith, John Smith and Smiths went; O'Smith and Smith-Jones did not. John alone stays.",
+        "Smith came first, then Dr. Smith and Mrs. Anna Brown, and Brown's hat.",
+        "Mr. Ivan Stone met Mr. Paul Ivan; Ivan and Stone and Paul Ivan.",
+        "Nobody Smith here.",
+    ]
+    out = run(spark, list(enumerate(texts)))
+    assert out[3] == texts[3]
+    for i, t in enumerate(texts[:3]):
+        assert out[i] == plain_renamed(t, out[i]) and out[i] != t
+    words = re.findall(r"\w+", out[0])
+    assert "John alone stays" in out[0] and "Smiths went; O'Smith and Smith-Jones" in out[0] and not re.search(r"(?<!')\bSmith\b(?!-)", out[0])
+    assert words[2] == words[4] == words[6]
+
+
 def test_collisions_are_resolved(spark):
     """Few short forms: first surrogates collide, results do not, and none is an entity of the corpus."""
     mails = [f"{c}@x.example" for c in "abcdefghijklmnopqrstuvwxyz"] + [f"{c}@y.example" for c in "abcdef"]
