@@ -146,7 +146,7 @@ def _features(v: View, toxic: list[int]) -> tuple[np.ndarray, np.ndarray]:
     """Feature ids of a document's different words, and of its statistics' steps and its votes on words."""
     own = [f"{name}={s}" for name, s in zip(JUNK, v.steps)] + [f"{name}={x}" for name, x in zip(TOXIC, toxic)]
     own = np.array([xxhash.xxh64_intdigest(x.encode(), 7) for x in own], np.uint64)
-    return tuple(np.unique((x >> np.uint64(64 - DIMENSION)).astype(np.int64)) for x in (v.words, own))
+    return tuple(np.unique((x >> np.uint64(64 - DIMENSION)).astype(np.int32)) for x in (v.words, own))
 
 
 def _values(words: np.ndarray, own: np.ndarray, average: bool) -> np.ndarray:
@@ -161,8 +161,8 @@ def _train(rows: list[tuple], target: np.ndarray, average: bool, rounds: int = 1
     if not rows:
         return w
     lengths = np.array([len(a) + len(b) for a, b in rows])
-    row, ids = np.repeat(np.arange(len(rows)), lengths), np.concatenate([x for r in rows for x in r])
-    value = np.concatenate([_values(a, b, average) for a, b in rows])
+    row, ids = np.repeat(np.arange(len(rows), dtype=np.int32), lengths), np.concatenate([x for r in rows for x in r])
+    value = np.concatenate([_values(a, b, average).astype(np.float32) for a, b in rows])
     used = np.bincount(ids, minlength=size) >= least
     keep = used[ids]
     row, ids, value = row[keep], ids[keep], value[keep]
@@ -186,11 +186,13 @@ def _word_lists(rows: list[tuple[np.ndarray, int]], least: int = 3, evidence: fl
     if not toxic or not other:
         return LISTS
     words, a = np.unique(np.concatenate(toxic), return_counts=True)
-    every, b = np.unique(np.concatenate(other), return_counts=True)
-    if not len(words) or not len(every):
+    words, a = words[a >= least], a[a >= least]
+    if not len(words):
         return LISTS
-    at = np.minimum(np.searchsorted(every, words), len(every) - 1)
-    b = np.where(every[at] == words, b[at], 0)
+    b = np.zeros(len(words), np.int64)
+    for own in other:  # one after the other: only counts of the words in question are kept
+        at = np.minimum(np.searchsorted(words, own), len(words) - 1)
+        b[at[words[at] == own]] += 1  # a document's words are different
     n, k = len(toxic), len(other)
     p, q, r = (a + 0.5) / (n + 1), (b + 0.5) / (k + 1), (a + b + 0.5) / (n + k + 1)
     term = lambda x, m, u: x * np.log(u) + (m - x) * np.log(np.maximum(1 - u, 1e-9))
