@@ -2,21 +2,18 @@
 
 Corners of each image are found at several scales, turned to the direction of
 their patch's centre of brightness, and described by 64 binary tests between
-points of the patch. Descriptors meet in tables: the bits are parted in d + 3
-bands, and of descriptors with at most d differing bits three bands at least
-are equal; each three are a key. Pairs of corners that pass the full Hamming
-check vote for a similarity transform; images match where enough different
-corners agree on one (geometric consensus).
-
-Some corners look alike in very many pictures. A key that more than CROWD rows
-hold nominates nobody alone: there, a corner counts with its NEAR nearest
-corners of crowded keys, and two images meet where they share the keys of
-NOMINATE such couples. Whatever shares couples in great numbers is a large group
-of copies, and its links are the result. Two distinctive corners that agree, or
-as many couples, nominate a pair of images, and for nominated pairs every corner votes. No number
-of partners is capped; what is missed are copies without two such corners in
-common (tests measure the recall against all pairs of corners, and in groups of
-hundreds of different edits of one picture).
+points of the patch. Descriptors meet in Hamming tables: the bits are parted in
+d + 3 bands, and of descriptors with at most d differing bits three bands at
+least are equal; each three are a key. Pairs of corners that pass the full
+Hamming check vote for a similarity transform; images match where enough
+different corners agree on one (geometric consensus).
+
+Many corners look alike in very many pictures, so pairs of corners grow with the
+square of the pictures and are not written out as rows. The tables of a block of
+queries go to all tasks, which look up the corners of the index, count the pairs
+of corners of two images for each turn and zoom, and give those that can still
+agree; only these vote. Nothing is capped: the result is that of all pairs of
+corners (tests hold it against them).
 
 Images with equal bytes are one class; the search runs between classes, so that
 thousands of equal pictures are one in every table.
@@ -27,6 +24,7 @@ from __future__ import annotations
 import re
 import struct
 import zlib
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -34,12 +32,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, salted_join, written
+from .common import salted_join, written
 
 #: Parameters: scales of the pyramid, corners kept a scale in a picture of AREA pixels (with the root of the area in larger ones), patch radius, tests.
 SCALES, CORNERS, AREA, RADIUS, TESTS = (1.0, 0.7071, 0.5), 25, 72 * 72, 7, 64
-#: Differing bits allowed, corners that must agree, corners that nominate, rows from which a key nominates in couples alone, and partners of a corner there.
-DISTANCE, AGREE, NOMINATE, CROWD, NEAR = 1, 4, 2, 32, 3
+#: Differing bits allowed, corners that must agree, and pairs of corners that a task holds at once (about 100 bytes each).
+DISTANCE, AGREE, CROWD = 1, 4, 1 << 20
+#: Corners in a block of queries (a broadcast of 24 bytes each), and corners of the index that meet it at once.
+BLOCK, CHUNK = 1 << 18, 1 << 17
 
 
 def _tests() -> np.ndarray:
@@ -197,18 +197,6 @@ def _masks(bits: list[int], n: int) -> list[int]:
     return [sum(1 << b for b in bits[len(bits) * k // n : len(bits) * (k + 1) // n]) for k in range(n)]
 
 
-def _signed(m: int) -> int:
-    return m - (1 << 64) if m >> 63 else m
-
-
-def _keyed(d: DataFrame, distance: int) -> DataFrame:
-    """image_id, place, bits of each descriptor with every key: three bands of distance + 3."""
-    bands = _masks(list(range(64)), distance + 3)
-    keys = [a | b | c for a, b, c in combinations(bands, 3)]
-    rows = d.select("image_id", _place().alias("place"), "bits")
-    return rows.select("image_id", "place", "bits", F.posexplode(F.array(*[F.col("bits").bitwiseAND(F.lit(_signed(m))) for m in keys])).alias("key", "value"))
-
-
 def _place():
     """x, y, scale and angle in one number."""
     return (F.round(F.col("x") * 8).cast("long") * (1 << 20) + F.round(F.col("y") * 8).cast("long")) * (1 << 20) + F.array_position(F.array(*[F.lit(s) for s in SCALES]), F.col("scale")) * (1 << 16) + F.floor(F.pmod(F.col("angle"), F.lit(2 * np.pi)) * (65536 / (2 * np.pi)))
@@ -234,38 +222,143 @@ def _agreeing(pairs: DataFrame) -> DataFrame:
     return cells.groupBy("query_id", "image_id").agg(F.max("n").alias("agreeing"))
 
 
-def _couples(dense: DataFrame) -> DataFrame:
-    """image_id, couple: a hash of the keys of two corners near to each other, of rows (image_id, place, key, value)."""
-    x, y = lambda p: F.shiftright(p, 40), lambda p: F.shiftright(p, 20).bitwiseAND((1 << 20) - 1)
-    own = dense.groupBy("image_id", "key").agg(F.collect_set(F.struct("place", "value")).alias("all"))  # the corners of one image
-    each = own.select("image_id", "key", "all", F.explode("all").alias("c"))
-    far = lambda o: F.pow(x(o["place"]) - x(F.col("c.place")), 2) + F.pow(y(o["place"]) - y(F.col("c.place")), 2)
-    others = F.filter("all", lambda o: F.shiftright(o["place"], 20) != F.shiftright(F.col("c.place"), 20))  # at another point
-    near = F.slice(F.array_sort(F.transform(others, lambda o: F.struct(far(o).alias("far"), o["place"].alias("place"), o["value"].alias("value")))), 1, NEAR)
-    both = each.select("image_id", "key", F.col("c.value").alias("v"), F.explode(near).alias("n"))
-    return both.select("image_id", F.xxhash64("key", F.least("v", "n.value"), F.greatest("v", "n.value")).alias("couple")).distinct()
-
-
-def matches(queries: DataFrame, index: DataFrame, distance: int = DISTANCE, agree: int = AGREE, nominate: int = NOMINATE, crowd: int = CROWD) -> DataFrame:
-    """query_id, image_id, agreeing: pairs of different images of which ``agree`` corners or more agree on one transform. Both: as descriptors()."""
-    close = F.bit_count(F.col("own").bitwiseXOR(F.col("bits"))) <= distance
-    every = _keyed(index, distance)
-    crowded = every.groupBy("key", "value").agg(F.count("*").alias("n")).filter(F.col("n") > crowd).select("key", "value", F.lit(True).alias("crowded"))
-    marked = written(salted_join(every, crowded, ["key", "value"], "place", "left"), "keyed")
-    sparse, dense = marked.filter("crowded is null").drop("crowded"), marked.filter("crowded").drop("crowded")
-    q = _keyed(queries, distance).withColumnRenamed("image_id", "query_id")
-    first = q.select("key", "value", "query_id", F.col("place").alias("at"), F.col("bits").alias("own")).join(sparse.hint("merge"), ["key", "value"]).filter("query_id <> image_id").filter(close).select("query_id", "at", "image_id", "place")
-    asked = salted_join(_keyed(queries, distance), dense.select("key", "value").distinct(), ["key", "value"], "place")
-    coupled = _couples(asked).withColumnRenamed("image_id", "query_id").join(_couples(dense).hint("merge"), "couple").filter("query_id <> image_id")
-    coupled = coupled.groupBy("query_id", "image_id").agg(F.count("*").alias("n")).filter(F.col("n") >= nominate).select("query_id", "image_id")
-    named = written(_agreeing(first.distinct()).filter(F.col("agreeing") >= nominate).select("query_id", "image_id"), "nominated")
-    named = written(named.unionByName(written(coupled, "coupled")).distinct(), "nominated")  # one after the other, each with the disk of its own shuffles
-    dropped(marked)
-    # a pair's corners are few on either side: all of them are compared
-    own = queries.select(F.col("image_id").alias("query_id"), _place().alias("at"), F.col("bits").alias("own"))
-    other = index.select("image_id", _place().alias("place"), "bits")
-    pairs = named.join(own.hint("merge"), "query_id").join(other.hint("merge"), "image_id").filter(close).select("query_id", "at", "image_id", "place").distinct()
-    return _agreeing(pairs).filter(F.col("agreeing") >= agree)
+def _ranges(start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, start[row] + 0, 1, ... n[row] - 1) of every row."""
+    row = np.repeat(np.arange(len(n)), n)
+    return row, np.arange(len(row)) + np.repeat(start - np.cumsum(n) + n, n)
+
+
+def _parts(sizes: np.ndarray, most: int):
+    """(from, to) of consecutive rows whose sizes add up to ``most`` at most, or of one row."""
+    ends, a = np.cumsum(sizes), 0
+    while a < len(sizes):
+        b = max(a + 1, int(np.searchsorted(ends, most + (ends[a - 1] if a else 0), "right")))
+        yield a, b
+        a = b
+
+
+class _Tables:
+    """Hamming tables of the corners of a block of queries."""
+
+    def __init__(self, image: np.ndarray, place: np.ndarray, bits: np.ndarray, distance: int):
+        order = np.argsort(image, kind="stable")
+        self.ids, self.image = np.unique(image[order], return_inverse=True)
+        self.place, self.distance = place[order], distance
+        self.values, where, self.n = np.unique(bits[order].view(np.uint64), return_inverse=True, return_counts=True)
+        self.corners = np.argsort(where, kind="stable")  # of each value, one after the other
+        self.first = np.cumsum(self.n) - self.n
+        bands = _masks(list(range(64)), distance + 3)
+        self.masks = [np.uint64(a | b | c) for a, b, c in combinations(bands, 3)]
+        self.tables = []
+        for m in self.masks:
+            own = np.argsort(self.values & m)
+            self.tables.append((own, (self.values & m)[own]))
+
+    def close(self, values: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+        """(place in self.values, place in values) of all that differ in ``distance`` bits at most."""
+        out = [(np.empty(0, np.int64), np.empty(0, np.int64))]
+        for k, (m, (own, keys)) in enumerate(zip(self.masks, self.tables)):
+            lo = np.searchsorted(keys, values & m)
+            n = np.searchsorted(keys, values & m, "right") - lo
+            for a, b in _parts(n, most):
+                v, u = _ranges(lo[a:b], n[a:b])
+                u, v = own[u], v + a
+                x = self.values[u] ^ values[v]
+                good = np.bitwise_count(x) <= self.distance
+                for before in self.masks[:k]:  # found by that key already
+                    good &= (x & before) != 0
+                out.append((u[good], v[good]))
+        u, v = zip(*out)
+        return np.concatenate(u), np.concatenate(v)
+
+    def voters(self, image: np.ndarray, place: np.ndarray, bits: np.ndarray, agree: int, most: int):
+        """(query_id, at, image_id, place) of all close corners of two images of which ``agree`` or more have one turn and zoom."""
+        ids, image = np.unique(image, return_inverse=True)
+        values, where, count = np.unique(bits.view(np.uint64), return_inverse=True, return_counts=True)
+        corners, first = np.argsort(where, kind="stable"), np.cumsum(count) - count
+        u, v = self.close(values, most)
+        row, q = _ranges(self.first[u], self.n[u])
+        q, v = self.corners[q], v[row]
+        order = np.argsort(q)  # corners stand by their images
+        q, v = q[order], v[order]
+        asked, size = np.unique(self.image[q], return_counts=True)
+        start, rank = np.cumsum(size) - size, np.repeat(np.arange(len(asked)), size)
+        if not len(asked):
+            return
+        # so many images of queries at once that pairs of corners and of images are bounded
+        load = np.maximum(np.add.reduceat(count[v], start), len(ids))
+        for a, b in _parts(load, most):
+            part = slice(start[a], start[b - 1] + size[b - 1])
+            row, c = _ranges(first[v[part]], count[v[part]])
+            c, p = corners[c], q[part][row]
+            pair = (rank[part] - a)[row] * len(ids) + image[c]
+            enough = np.bincount(pair)[pair] >= agree
+            c, p, pair = c[enough], p[enough], pair[enough]
+            cell = (pair * 12 + _turn(self.place[p], place[c])) * (2 * len(SCALES) ** 2) + _zoom(self.place[p], place[c])
+            _, at, n = np.unique(cell, return_inverse=True, return_counts=True)
+            enough = (n[at] >= agree) & (self.ids[self.image[p]] != ids[image[c]])
+            c, p = c[enough], p[enough]
+            yield self.ids[self.image[p]], self.place[p], ids[image[c]], place[c]
+
+
+def _turn(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The turn between two places as _agreeing() rounds it, by the same steps."""
+    whole = 2 * np.pi
+    turn = np.fmod((b & 65535) * (whole / 65536) - (a & 65535) * (whole / 65536), whole)
+    turn = np.where(turn < 0, np.fmod(turn + whole, whole), turn)
+    return np.mod(np.floor(turn / (np.pi / 6) + 0.5).astype(np.int64), 12)
+
+
+def _zoom(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A number for the zoom between two places as _agreeing() rounds it."""
+    scales = np.array(SCALES)
+    steps = np.round(np.log2(scales[:, None] / scales[None, :]) * 2).astype(np.int64)
+    return (steps - steps.min())[((a >> 16) & 15) - 1, ((b >> 16) & 15) - 1]
+
+
+def _columns(batch, *names: str) -> list[np.ndarray]:
+    return [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
+
+
+def _voters(block: DataFrame, index: DataFrame, distance: int, agree: int, crowd: int) -> DataFrame:
+    """query_id, at, image_id, place: the pairs of corners of block (bounded) and index (image_id, place, bits; each image in one partition, by image_id) that may agree."""
+    own = block.toArrow()
+    tables = index.sparkSession.sparkContext.broadcast([c.to_numpy() for c in own.columns])
+    names = ["query_id", "at", "image_id", "place"]
+
+    def run(it):
+        held, size, built = [], 0, _Tables(*tables.value, distance)
+
+        def given(rows):
+            for found in built.voters(*rows, agree, crowd):
+                for i in range(0, len(found[0]), 1 << 16):
+                    yield pa.RecordBatch.from_arrays([pa.array(x[i : i + (1 << 16)]) for x in found], names=names)
+
+        for batch in it:
+            held.append(_columns(batch, "image_id", "place", "bits"))
+            size += batch.num_rows
+            if size >= CHUNK:
+                rows = [np.concatenate(x) for x in zip(*held)]
+                cut = int(np.searchsorted(rows[0], rows[0][-1]))  # the last image may go on
+                yield from given([x[:cut] for x in rows])
+                held, size = [[x[cut:] for x in rows]], size - cut
+        if size:
+            yield from given([np.concatenate(x) for x in zip(*held)])
+
+    return index.mapInArrow(run, "query_id long, at long, image_id long, place long")
+
+
+def matches(queries: DataFrame, index: DataFrame, distance: int = DISTANCE, agree: int = AGREE, crowd: int = CROWD) -> DataFrame:
+    """query_id, image_id, agreeing: all pairs of different images of which ``agree`` corners or more agree on one transform. Both: as descriptors(). crowd: pairs of corners that a task holds at once, whatever the result."""
+    rows = lambda d: d.filter("image_id is not null").select("image_id", _place().alias("place"), "bits")
+    asked = written(rows(queries).distinct(), "asked")
+    blocks, parts = max(1, -(-asked.count() // BLOCK)), max(index.sparkSession.sparkContext.defaultParallelism, -(-index.count() // CHUNK))
+    every = rows(index).repartition(parts, "image_id").distinct().sortWithinPartitions("image_id")
+    found = []
+    for k in range(blocks):
+        block = asked.filter(F.pmod(F.xxhash64("image_id"), F.lit(blocks)) == k)
+        found.append(_agreeing(written(_voters(block, every, distance, agree, crowd), "voters")).filter(F.col("agreeing") >= agree))
+    return reduce(DataFrame.unionByName, found)
 
 
 def copies(images: DataFrame, every: int = 20, distance: int = DISTANCE, agree: int = AGREE) -> DataFrame:
@@ -285,7 +378,7 @@ def copies(images: DataFrame, every: int = 20, distance: int = DISTANCE, agree:
     classes = hashed.groupBy("hash", "none").agg(F.min("image_id").alias("class_id"), F.max(F.coalesce(F.pmod("image_id", F.lit(every)) == 0, F.lit(False))).alias("asked"))
     named = written(salted_join(hashed, classes, ["hash", "none"], "image_id").select("image_id", "class_id", "asked"), "classes")
     kept = rows.join(classes.select(F.col("class_id").alias("image_id"), "hash"), ["image_id", "hash"], "left_semi").filter("not none")
-    found = written(descriptors(kept).distinct(), "descriptors")
+    found = written(descriptors(kept), "descriptors")
     asked = named.filter("asked").select(F.col("class_id").alias("image_id")).distinct()
     links = matches(found.join(asked, "image_id", "left_semi"), found, distance, agree)
     members = named.select("image_id", "class_id", F.lit(None).cast("long").alias("match_id"), F.lit(None).cast("long").alias("agreeing"))
