@@ -144,6 +144,12 @@ def _rooted(docs: DataFrame, shingle: int, d: int, small: int) -> tuple[DataFram
     return marked, written(rooted.select("fp", "least", F.coalesce("root", "fp").alias("root")), "rooted")
 
 
+def groups(docs: DataFrame, shingle: int = 3, d: int = 2, small: int = 64) -> DataFrame:
+    """th (the hash of a text), root of its component: one row for each different text."""
+    marked, rooted = _rooted(docs, shingle, d, small)
+    return written(salted_join(marked.select("th", "fp").distinct(), rooted.select("fp", "root"), ["fp"], "th").select("th", "root"), "groups")
+
+
 def keep_one(docs: DataFrame, shingle: int = 3, d: int = 2, small: int = 64) -> DataFrame:
     """One row of each component of near_duplicates(), all columns: the smallest doc_id, null last, then the smallest hash of the text.
 

@@ -77,6 +77,17 @@ def test_stages_take_effect(spark, sf_dir):
     assert {r.doc_id for r in corpus_pipeline.run(spark, d).collect()} == ids[4]
 
 
+def test_near_copies_by_fingerprint_and_by_shingles_are_one_group(spark):
+    """1 and 2 have near fingerprints and unlike shingles, 2 and 3 equal shingles and unlike fingerprints."""
+    phrase = "one red bird sat on my roof "
+    tail = lambda c: " ".join(f"{c}{i}" for i in range(20))
+    rows = documents([(1, phrase * 50 + tail("x")), (2, phrase * 50 + tail("y")), (3, phrase * 2 + tail("y")), (4, tail("z")), (None, phrase * 2 + tail("y")), (5, None), (6, "")])
+    prints = [plain_fingerprint(t) for _, t, *_ in rows]
+    assert bin(prints[0] ^ prints[1]).count("1") <= 2 < bin(prints[1] ^ prints[2]).count("1")
+    docs = spark.createDataFrame(rows, SCHEMA)
+    assert sorted(r.doc_id for r in corpus_pipeline.one_of_each_group(spark, docs, "").collect()) == [1, 4, 5]
+
+
 def test_stages_on_an_empty_table(spark, sf_dir):
     docs = spark.createDataFrame([], SCHEMA)
     for _, stage in corpus_pipeline.STAGES:
