@@ -278,15 +278,28 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, sample: int = SAMPLE,
         posterior.append(dict(zip(("".join("-0+"[v + 1] for v in p) for p in own), bad)))
         accuracy |= {x: (float(t[1]), float(1 - t[0])) for x, t in zip(names, table)}
     chosen = _sampled(docs, sample, int(counts.sum()), "doc_id", "text").select("h", _viewed(lists)("text").alias("v")).select("h", "v.*")
-    rows, junk, toxic = [], [], []
-    for r in sorted(chosen.toLocalIterator(), key=lambda r: (r.h, r.junk)):
-        v = View([], r.steps, np.frombuffer(r.words, np.uint64))
-        rows.append(_features(v, ["-0+".index(c) - 1 for c in r.toxic]))
-        junk.append(posterior[0].get(r.junk, 0.0))
-        toxic.append(posterior[1].get(r.toxic, 0.0))
-    if all(len(x) == 0 for x in lists):
-        toxic = [0.0] * len(rows)
-    return Model(lists, _train(rows, np.array(junk), True).astype(np.float32), _train(rows, np.array(toxic), False).astype(np.float32), accuracy)
+    weights = chosen.repartition(1).mapInArrow(_trained(posterior, any(map(len, lists))), "junk binary, toxic binary").collect()
+    junk, toxic = (np.frombuffer(x, np.float32) for x in weights[0]) if weights else (np.zeros((1 << DIMENSION) + 1, np.float32) for _ in range(2))
+    return Model(lists, junk, toxic, accuracy)
+
+
+def _trained(posterior: list[dict], listed: bool):
+    """Trains on the sample (h, junk, toxic, words, steps) in one task, so that neither its words nor the training take the driver's memory; gives both weights in a row."""
+
+    def run(it):
+        rows, junk, toxic = [], [], []
+        sample = pa.Table.from_batches([b for b in it if b.num_rows] or [pa.RecordBatch.from_pylist([])])
+        if not sample.num_rows:
+            return
+        for r in sorted(sample.to_pylist(), key=lambda r: (r["h"], r["junk"])):
+            v = View([], r["steps"], np.frombuffer(r["words"], np.uint64))
+            rows.append(_features(v, ["-0+".index(c) - 1 for c in r["toxic"]]))
+            junk.append(posterior[0].get(r["junk"], 0.0))
+            toxic.append(posterior[1].get(r["toxic"], 0.0) if listed else 0.0)
+        weights = [_train(rows, np.array(target), average).astype(np.float32).tobytes() for target, average in ((junk, True), (toxic, False))]
+        yield pa.RecordBatch.from_arrays([pa.array([w], pa.binary()) for w in weights], names=["junk", "toxic"])
+
+    return run
 
 
 SCORE = "struct<junk:double,toxic:double>"

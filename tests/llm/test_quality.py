@@ -1,3 +1,4 @@
+import os
 import random
 
 import numpy as np
@@ -145,3 +146,19 @@ def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert Q.score(df, spark.createDataFrame([], "doc_id long, toxic int")).collect() == []
     assert Q.kept(df).collect() == []
+
+
+def test_training_is_not_done_by_the_driver(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, t) for i, t, _, _ in corpus(120, 4)], "doc_id long, text string")
+    want = Q.fit(docs)
+
+    driver, train = os.getpid(), Q._train
+
+    def elsewhere(*args):
+        assert os.getpid() != driver
+        return train(*args)
+
+    monkeypatch.setattr(Q, "_train", elsewhere)
+    got = Q.fit(docs)
+    assert (got.junk == want.junk).all() and (got.toxic == want.toxic).all() and got.junk.any()
+    assert not Q.fit(docs.limit(0)).junk.any()
