@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 #: Seed of every word and shingle hash.
 SEED = 42
+#: For tables that are read again at once: local files without a checksum file beside each, for which Hadoop starts one process more a file (Parquet's pages have checksums of their own). Other file systems are not concerned.
+PLAIN = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -51,7 +53,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = shared_path(spark, name)
-    df.write.parquet(path)
+    df.write.options(**PLAIN).parquet(path)
     schema = df.schema
     del df
     release(spark)
