@@ -37,6 +37,8 @@ MARK, UNKNOWN_PENALTY = "▁", 10.0
 SCALE = 1 << 20
 #: The gap of a lattice with one segmentation.
 NONE = 1 << 62
+#: Where the trie has no piece: a score below all others, no id, nothing further.
+NOTHING = -2 * NONE, None, None
 #: Lattices that each Python worker keeps: so many new ones, and as many of before; longer blocks are not kept. About 0.35 kB each.
 CACHE, LONGEST = 100_000, 64
 #: Texts that show whether a model's normaliser leaves characters and spaces alone.
@@ -61,6 +63,7 @@ class Vocabulary:
             for k in range(1, len(p)):
                 self.suffixes.setdefault(p[k:], ())
         self.suffixes.update({p: (i, round(scores[i] * SCALE)) for p, i in plain})
+        self._trie: dict[str, tuple] | None = None
         # for decode(): the pieces as an Arrow column, ASCII bytes too, and which of them are not simply their text
         text = list(pieces)
         for b, i in enumerate((byte_ids or ())[:128]):
@@ -97,6 +100,16 @@ class Vocabulary:
         bytes_ = [m.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         return cls([m.id_to_piece(i) for i in range(n)], scores, special, m.unk_id(), bytes_ if all(map(m.is_byte, bytes_)) else None)
 
+    def trie(self) -> dict[str, tuple]:
+        """character -> (score * SCALE, id, the same for the next character or None); NOTHING's score and id for what is no piece. Made where it is first asked for, not broadcast."""
+        if self._trie is None:
+            under: dict[str, dict] = {"": {}}
+            for p, own in sorted(self.prefixes.items(), reverse=True):  # what goes on comes before what it goes on from
+                i, s = own or (None, NOTHING[0])
+                under.setdefault(p[:-1], {})[p[-1]] = s, i, under.pop(p, None)
+            self._trie = under[""]
+        return self._trie
+
     def unknown_ids(self, char: str) -> list[int]:
         return [self.byte_ids[b] for b in char.encode("utf-8", "surrogatepass")] if self.byte_ids else [self.unknown]
 
@@ -166,29 +179,49 @@ def _ending(block: str, at: int, v: Vocabulary) -> list[tuple[int, int, int]]:
 def nearest(block: str, v: Vocabulary) -> tuple[int, list[int], int]:
     """(score * SCALE, ids, gap to the second best) of the best segmentation.
 
-    The first path of the search from the back; of the states left open on the
-    way the best one is the second best segmentation's, since its estimate is exact.
+    One pass from the front keeps, for each place, the best and the second best
+    way to come there over best ways to where its last piece starts; of equal
+    ones the longest last piece counts. The second best segmentation leaves the
+    best one at the place where that costs least, read from the back.
     """
-    best, at = _forward(block, v), len(block)
-    total, g, gap, back = best[at], 0, NONE, []
+    size, get, low = len(block), v.trie().get, v.low
+    best, second, back = [-NONE] * (size + 1), [-NONE] * (size + 1), [None] * (size + 1)
+    best[0] = 0
+    for i, char in enumerate(block):
+        here, j = best[i], i + 1
+        s, x, further = get(char) or NOTHING
+        s, x = (here + low, -1) if x is None else (here + s, x)  # no piece of one character: an unknown one
+        if s > best[j]:
+            second[j], best[j], back[j] = best[j], s, (i, x)
+        elif s > second[j]:
+            second[j] = s
+        if further is None:
+            continue
+        for char in block[j:]:
+            edge = further.get(char)
+            if edge is None:
+                break
+            j += 1
+            s, x, further = edge
+            s += here
+            if s > second[j]:
+                if s > best[j]:
+                    second[j], best[j], back[j] = best[j], s, (i, x)
+                else:
+                    second[j] = s
+            if further is None:
+                break
+    gap, ids, at = NONE, [], size
     while at:
-        follow = None
-        for state in _ending(block, at, v):
-            f = g + state[2] + best[state[0]]
-            if follow is None and f == total:
-                follow = state
-            elif total - f < gap:
-                gap = total - f
-        at, i, s = follow
-        g += s
-        back.append((at, i))
-    ids = []
-    for start, i in reversed(back):
-        if i >= 0:
-            ids.append(i)
+        if second[at] > -NONE and best[at] - second[at] < gap:
+            gap = best[at] - second[at]
+        at, x = back[at]
+        if x >= 0:
+            ids.append(x)
         else:
-            ids += v.unknown_ids(block[start])
-    return total, ids, gap
+            ids += reversed(v.unknown_ids(block[at]))
+    ids.reverse()
+    return best[size], ids, gap
 
 
 def lattice(block: str, v: Vocabulary, n: int) -> list[tuple[int, list[int]]]:

@@ -139,3 +139,14 @@ def test_query_returns_every_rank(spark, vocabulary, tmp_path):
         best = next(r for r in out if r.doc_id == i and r.rank == 0)
         assert best.ids_sha256 == hashlib.sha256(struct.pack(f"<{len(whole[0][1])}i", *whole[0][1])).hexdigest() and best.n_pieces == len(whole[0][1])
         assert len({r.ids_sha256 for r in out if r.doc_id == i}) == len(rows)
+
+
+def test_best_and_gap_come_from_one_pass_from_the_front():
+    v = P.Vocabulary(["<unk>", "a", "aa", "ab", "b", "ba", "bab", "cab"], [0.0, -1.0, -2.0, -1.5, -1.0, -2.5, -2.0, -1.0], {0}, 0, None)
+    v.suffixes = None  # nothing is looked up from the back
+    rng = random.Random(11)
+    for block in ["a", "c", "cab", "aaaa", *("".join(rng.choice("aabbc") for _ in range(rng.randrange(1, 10))) for _ in range(200))]:
+        scores = sorted((s for s, _ in every(block, v)), reverse=True)
+        total, ids, gap = P.nearest(block, v)
+        assert (total, gap) == (scores[0], scores[0] - scores[1] if len(scores) > 1 else P.NONE), block
+        assert (total, ids) in every(block, v)
