@@ -1,4 +1,4 @@
-"""Queries against their SQL where pages lack boxes, as the last one of a table does when its rows are no multiple of 20."""
+"""Queries against their SQL where rows lack what the smallest tables have: boxes of a page (the last one of a table, when its rows are no multiple of 20), characters of a text."""
 
 import duckdb
 
@@ -37,3 +37,10 @@ def test_few_boxes_are_one_column(spark):
     pages = spark.createDataFrame([(0, 1, 1000)], "doc_id long, page_no long, page_w int")
     assert {(r.col, r.multi) for r in G.columns(boxes, pages).collect()} == {(0, False)}
     assert [r.box_id for r in G.reading_order(boxes, pages).orderBy("place").collect()] == [1, 2, 3]
+
+
+def test_edit_distance_of_unprintable_texts(spark, tmp_path):
+    texts = ["", None, "é", "Éé\n中", "\t\r\n", "é.", "a", "añb", " ", "ab" * 60]
+    rows = " UNION ALL ".join(f"SELECT {i}::BIGINT AS doc_id, " + ("NULL" if t is None else " || ".join(f"chr({ord(c)})" for c in t) or "''") + " AS text" for i, t in enumerate(texts))
+    got, want = both(spark, tmp_path, "edit_distance", "documents", rows)
+    assert got == want and len(got) == 5
